@@ -1 +1,274 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: evaluation tables (K7-K15, A9) and fitted models (K1-K6).
+
+Metric queries run over `fx_scored` (pred = score >= 0.5, model key = grp)
+and have DuckDB oracles. Fitted-model queries return prediction or result
+tables and are checked by property tests (quality above the majority class,
+schema, row counts)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dxspark.operators import features as J
+from dxspark.operators import metrics as K
+from dxspark.operators import models as M
+from dxspark.operators.reshape import filter_contains_any
+from dxspark.plans.fixtures import fx
+from dxspark.plans.queries_agg import DIAG_COLS
+from dxspark.plans.queries_reshape import LANGS
+from dxspark.plans.registry import query
+from dxspark.session import scratch_path
+from dxspark.sources import io
+
+SCORED_SQL = "(SELECT row_id, grp, y, CAST(score >= 0.5 AS INTEGER) AS pred, score FROM fx_scored)"
+COUNTS_SQL = f"""(SELECT grp, sum(CASE WHEN y = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp,
+       sum(CASE WHEN y <> 1 AND pred = 1 THEN 1 ELSE 0 END) AS fp,
+       sum(CASE WHEN y = 1 AND pred <> 1 THEN 1 ELSE 0 END) AS fn,
+       sum(CASE WHEN y <> 1 AND pred <> 1 THEN 1 ELSE 0 END) AS tn, count(*) AS n FROM {SCORED_SQL} s GROUP BY grp)"""
+
+
+def sdiv(a: str, b: str) -> str:
+    return f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a}) / ({b}) END"
+
+
+def _scored(spark, sf):
+    s = fx(spark, sf, "fx_scored")
+    return s.withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+
+
+def r6(df, cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query("confusion_matrix", f"""
+SELECT g.grp, c.y, c.pred, count(s.grp) AS n
+FROM (SELECT DISTINCT grp FROM fx_scored) g CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(y, pred)
+LEFT JOIN {SCORED_SQL} s ON s.grp = g.grp AND s.y = c.y AND s.pred = c.pred
+GROUP BY 1, 2, 3""")
+def q_confusion_matrix(spark, sf):
+    return K.confusion_matrix(_scored(spark, sf), "grp")
+
+
+METRICS_SQL = f"""SELECT grp, round((tp + tn) / n, 6) AS accuracy, round({sdiv('tp', 'tp + fp')}, 6) AS precision,
+       round({sdiv('tp', 'tp + fn')}, 6) AS recall, round({sdiv('2 * tp', '2 * tp + fp + fn')}, 6) AS f1
+FROM {COUNTS_SQL} c"""
+
+
+@query("binary_metrics", METRICS_SQL)
+def q_binary_metrics(spark, sf):
+    return r6(K.binary_metrics(_scored(spark, sf), "grp"), ["accuracy", "precision", "recall", "f1"])
+
+
+def _report_sql() -> str:
+    def cls(label, tp, fp, fn):
+        return (f"SELECT grp, '{label}' AS label, {sdiv(tp, f'{tp} + {fp}')} AS precision, "
+                f"{sdiv(tp, f'{tp} + {fn}')} AS recall, {sdiv(f'2 * {tp}', f'2 * {tp} + {fp} + {fn}')} AS f1, "
+                f"CAST({tp} + {fn} AS BIGINT) AS support FROM {COUNTS_SQL} c")
+    per = f"{cls('0', 'tn', 'fn', 'fp')} UNION ALL {cls('1', 'tp', 'fp', 'fn')}"
+    return f"""WITH pc AS ({per}), tot AS (SELECT grp, n, tp, tn FROM {COUNTS_SQL} c)
+SELECT grp, label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM (
+  SELECT * FROM pc
+  UNION ALL SELECT grp, 'accuracy', NULL, NULL, (tp + tn) / n, n FROM tot
+  UNION ALL SELECT grp, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM pc GROUP BY grp
+  UNION ALL SELECT grp, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                   sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pc GROUP BY grp) r"""
+
+
+@query("classification_report", _report_sql())
+def q_classification_report(spark, sf):
+    return r6(K.classification_report(_scored(spark, sf), "grp"), ["precision", "recall", "f1"])
+
+
+SCORE_TABLE = """(SELECT grp, score, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos,
+       sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS neg FROM fx_scored GROUP BY 1, 2)"""
+
+
+@query("roc_curve", f"""
+WITH c AS (SELECT grp, score,
+                  sum(pos) OVER (PARTITION BY grp ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cp,
+                  sum(neg) OVER (PARTITION BY grp ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn,
+                  sum(pos) OVER (PARTITION BY grp) AS p, sum(neg) OVER (PARTITION BY grp) AS n FROM {SCORE_TABLE} s)
+SELECT grp, score AS threshold, round({sdiv('cn', 'n')}, 6) AS fpr, round({sdiv('cp', 'p')}, 6) AS tpr FROM c
+UNION ALL SELECT DISTINCT grp, 'inf'::DOUBLE, 0.0, 0.0 FROM fx_scored""")
+def q_roc_curve(spark, sf):
+    return r6(K.roc_curve(fx(spark, sf, "fx_scored"), "grp"), ["fpr", "tpr"])
+
+
+AUC_SQL = f"""SELECT grp, round({sdiv('sum(pos * (below + 0.5 * neg))', 'sum(pos) * sum(neg)')}, 6) AS auc
+FROM (SELECT *, sum(neg) OVER (PARTITION BY grp ORDER BY score ROWS UNBOUNDED PRECEDING) - neg AS below
+      FROM {SCORE_TABLE} s) c GROUP BY grp"""
+
+
+@query("roc_auc", AUC_SQL)
+def q_roc_auc(spark, sf):
+    return r6(K.roc_auc(fx(spark, sf, "fx_scored"), "grp"), ["auc"])
+
+
+def _compare_sql() -> str:
+    long = f"""(SELECT grp AS model, metric, round_even(value, 4) AS value FROM (
+      SELECT grp, 'accuracy' AS metric, accuracy AS value FROM ({METRICS_SQL}) m
+      UNION ALL SELECT grp, 'precision', precision FROM ({METRICS_SQL}) m
+      UNION ALL SELECT grp, 'recall', recall FROM ({METRICS_SQL}) m
+      UNION ALL SELECT grp, 'f1', f1 FROM ({METRICS_SQL}) m
+      UNION ALL SELECT grp, 'auc', auc FROM ({AUC_SQL}) a) u)"""
+    cols = ", ".join(f"max(CASE WHEN model = '{m}' THEN value END) AS {m}" for m in LANGS)
+    return f"""WITH l AS {long},
+b AS (SELECT metric, model AS best FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, model) AS r FROM l) x WHERE r = 1)
+SELECT l.metric, {cols}, b.best FROM l JOIN b ON l.metric = b.metric GROUP BY l.metric, b.best"""
+
+
+@query("compare_models", _compare_sql())
+def q_compare_models(spark, sf):
+    # metrics rounded to 6 first, as in the table the oracle rounds from
+    s = _scored(spark, sf)
+    m = r6(K.binary_metrics(s, "grp"), ["accuracy", "precision", "recall", "f1"]) \
+        .join(r6(K.roc_auc(s, "grp"), ["auc"]), "grp")
+    long = m.unpivot(["grp"], ["accuracy", "precision", "recall", "f1", "auc"], "metric", "value") \
+        .withColumnRenamed("grp", "model").withColumn("value", F.bround("value", 4))
+    wide = long.groupBy("metric").pivot("model", LANGS).agg(F.first("value"))
+    best = long.groupBy("metric").agg(
+        F.min_by("model", F.struct((-F.col("value")).alias("v"), F.col("model").alias("m"))).alias("best"))
+    return wide.join(best, "metric")
+
+
+@query("subset_accuracy", f"""
+SELECT count(*) AS n, round(avg(CAST(y = pred AS DOUBLE)), 6) AS accuracy
+FROM (SELECT * FROM {SCORED_SQL} s ORDER BY row_id LIMIT 100) h""")
+def q_subset_accuracy(spark, sf):
+    return r6(K.subset_accuracy(_scored(spark, sf), "row_id", 100), ["accuracy"])
+
+
+@query("training_log_best", """
+SELECT model, best_step, best_eval_f1 FROM (
+  SELECT model, run_id AS best_step, f1 AS best_eval_f1,
+         row_number() OVER (PARTITION BY model ORDER BY f1 DESC, run_id) AS r FROM fx_grid) t WHERE r = 1""")
+def q_training_log_best(spark, sf):
+    g = fx(spark, sf, "fx_grid")
+    log = F.array(F.struct(F.col("run_id").alias("step"), F.col("recall").alias("loss"),
+                           F.lit(None).cast("double").alias("eval_f1")),
+                  F.struct(F.col("run_id").alias("step"), F.lit(None).cast("double").alias("loss"),
+                           F.col("f1").alias("eval_f1")))
+    path = scratch_path(spark, "trainer_log")
+    g.select("model", log.alias("log_history")).write.json(path)
+    logs = spark.read.schema("model string, log_history array<struct<step:bigint,loss:double,eval_f1:double>>") \
+        .json(path)
+    return K.training_log_best(logs, "model")
+
+
+# The gradient-boosting grid of the reference (2,187 candidates).
+GB_GRID = {
+    "n_estimators": [100, 200, 300],
+    "learning_rate": [0.01, 0.05, 0.1],
+    "max_depth": [3, 5, 7],
+    "min_samples_split": [2, 5, 10],
+    "min_samples_leaf": [1, 2, 4],
+    "subsample": [0.6, 0.8, 1.0],
+    "max_features": ["sqrt", "log2", None],
+}
+
+
+def _labelled_visits(spark, sf):
+    """Visits whose target is exactly F20 or F20.89; label 1 = F20.89."""
+    v = fx(spark, sf, "fx_visits").where(F.col("psq").isin("F20", "F20.89"))
+    return v.select("visit_id", (F.col("psq") == "F20.89").cast("int").alias("label"))
+
+
+def _grid_sql() -> str:
+    keys = sorted(GB_GRID)
+    tables, pid = [], "0"
+    for i, k in enumerate(keys):
+        vals = ", ".join(f"({j}, {'NULL' if v is None else repr(str(v))})" for j, v in enumerate(GB_GRID[k]))
+        tables.append(f"(VALUES {vals}) t{i}(p{i}, \"{k}\")")
+        pid = f"({pid}) * {len(GB_GRID[k])} + p{i}"
+    folds = """(SELECT fold, count(*) AS n_valid, sum(count(*)) OVER () AS n_all FROM (
+      SELECT CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || CAST(visit_id AS VARCHAR)), visit_id) - 1) % 5 AS INTEGER) AS fold
+      FROM (SELECT visit_id, CAST(psq = 'F20.89' AS INTEGER) AS label FROM fx_visits WHERE psq IN ('F20', 'F20.89')) v) f
+      GROUP BY fold)"""
+    return (f"SELECT CAST({pid} AS BIGINT) AS candidate_id, {', '.join(keys)}, f.fold, "
+            f"CAST(f.n_all - f.n_valid AS BIGINT) AS n_train, f.n_valid FROM {' CROSS JOIN '.join(tables)} "
+            f"CROSS JOIN {folds} f")
+
+
+@query("param_grid_table", _grid_sql())
+def q_param_grid_table(spark, sf):
+    grid = K.param_grid(spark, GB_GRID)
+    folds = J.kfold_assign(_labelled_visits(spark, sf), "visit_id", "label", 5, 42)
+    sizes = folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_valid"))
+    total = folds.count()
+    per_fold = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
+    # five rows, one per fold: a bounded broadcast
+    return per_fold.join(F.broadcast(sizes), "fold").withColumn("n_train", F.lit(total) - F.col("n_valid"))
+
+
+@query("export_metrics", METRICS_SQL.replace("SELECT grp,", "SELECT grp AS dataset,", 1))
+def q_export_metrics(spark, sf):
+    m = r6(K.binary_metrics(_scored(spark, sf), "grp"), ["accuracy", "precision", "recall", "f1"])
+    long = m.unpivot(["grp"], ["accuracy", "precision", "recall", "f1"], "metric", "value")
+    _, json_path = io.export_metrics(long, scratch_path(spark, "metrics"), "grp", "metric", "value")
+    back = spark.read.text(json_path).select(F.explode(F.from_json("value", "map<string,map<string,double>>"))
+                                             .alias("dataset", "m"))
+    return back.select("dataset", *[F.col("m")[k].alias(k) for k in ("accuracy", "precision", "recall", "f1")])
+
+
+# ------------------------------------------------------------ fitted models (R)
+
+def model_data(spark, sf):
+    """Binary coded dataset (codes variant of I9) with label 1 = F20.89 and a
+    stratified 70/30 split."""
+    from dxspark.operators.codes import build_binary_dataset
+    base = build_binary_dataset(fx(spark, sf, "fx_diag_wide"), "visit_id", DIAG_COLS, "psq",
+                                fx(spark, sf, "fx_crosswalk"), variant="codes")
+    data = base.withColumn("label", F.col("psq").rlike("F20.89").cast("double"))
+    return J.split_stratified(data, "visit_id", "label", 0.3, 42)
+
+
+@query("fit_random_forest")
+def q_fit_random_forest(spark, sf):
+    d = model_data(spark, sf)
+    model = M.fit_random_forest(d.where("split = 'train'"), DIAG_COLS, num_trees=100, max_depth=10)
+    return M.predict_scores(model, d.where("split = 'test'"), ["visit_id"])
+
+
+@query("fit_decision_tree")
+def q_fit_decision_tree(spark, sf):
+    d = model_data(spark, sf)
+    model = M.fit_decision_tree(d.where("split = 'train'"), DIAG_COLS, max_depth=5)
+    return M.predict_scores(model, d.where("split = 'test'"), ["visit_id"])
+
+
+@query("fit_gradient_boosting")
+def q_fit_gradient_boosting(spark, sf):
+    d = model_data(spark, sf)
+    model = M.fit_gradient_boosting(d.where("split = 'train'"), DIAG_COLS, "label", "gradient_boosting", maxIter=30)
+    return M.predict_scores(model, d.where("split = 'test'"), ["visit_id"])
+
+
+@query("fit_text_classifier")
+def q_fit_text_classifier(spark, sf):
+    t = J.split_stratified(fx(spark, sf, "fx_text").withColumn("label", F.col("label").cast("double")),
+                           "doc_id", "label", 0.2, 42)
+    model = M.fit_text_classifier(t.where("split = 'train'"), "text")
+    return M.predict_scores(model, t.where("split = 'test'"), ["doc_id"])
+
+
+@query("predict_scores")
+def q_predict_scores(spark, sf):
+    """K5 + K9/K12: metrics of three fitted tree models on the same test split."""
+    d = model_data(spark, sf).cache()
+    train, test = d.where("split = 'train'"), d.where("split = 'test'")
+    fits = {"random_forest": M.fit_random_forest(train, DIAG_COLS, num_trees=50, max_depth=10),
+            "decision_tree": M.fit_decision_tree(train, DIAG_COLS),
+            "gradient_boosting": M.fit_gradient_boosting(train, DIAG_COLS, maxIter=20)}
+    scored = None
+    for name, m in fits.items():
+        s = M.predict_scores(m, test, ["visit_id"]).withColumn("model", F.lit(name))
+        scored = s if scored is None else scored.unionByName(s)
+    return K.metric_table(scored, "model")
+
+
+@query("grid_search")
+def q_grid_search(spark, sf):
+    d = model_data(spark, sf)
+    train = J.kfold_assign(d.where("split = 'train'").drop("split"), "visit_id", "label", 5, 42)
+    _, results = M.grid_search(train, DIAG_COLS, {"numTrees": [20, 50], "maxDepth": [5, 10]}, "label", "fold")
+    return results
