@@ -1 +1,105 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: attributions (L*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dxspark.operators import explain as L
+from dxspark.operators import features as J
+from dxspark.operators import models as M
+from dxspark.operators.agg import sample_n
+from dxspark.plans.fixtures import fx
+from dxspark.plans.queries_agg import DIAG_COLS
+from dxspark.plans.registry import query
+
+N_SAMPLES = 64
+
+
+def _perturbation_sql(top: int | None) -> str:
+    keep_top = f"WHERE rank <= {top}" if top else ""
+    return rf"""
+WITH t AS (SELECT doc_id, unnest(l) AS token, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos
+           FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS l FROM fx_text) d),
+ts AS (SELECT t.*, r.s, substr(md5('42|' || CAST(doc_id AS VARCHAR) || '|' || CAST(r.s AS VARCHAR) || '|' || CAST(pos AS VARCHAR)), 1, 1) < '8' AS keep
+       FROM t, (SELECT unnest(range(1, {N_SAMPLES} + 1)) AS s) r),
+sc AS (SELECT doc_id, s, coalesce(avg(CASE WHEN keep THEN (length(token) % 5) / 4.0 END), 0.5) AS score FROM ts GROUP BY 1, 2),
+w AS (SELECT ts.doc_id, ts.pos, ts.token,
+             coalesce(avg(CASE WHEN keep THEN score END) - avg(CASE WHEN NOT keep THEN score END), 0.0) AS weight
+      FROM ts JOIN sc ON ts.doc_id = sc.doc_id AND ts.s = sc.s GROUP BY 1, 2, 3),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(weight), 9) DESC, pos) AS INTEGER) AS rank FROM w)"""
+
+
+@query("text_perturbation", _perturbation_sql(20) + "\nSELECT doc_id, pos, token, round(weight, 6) AS weight, rank FROM ranked WHERE rank <= 20")
+def q_text_perturbation(spark, sf):
+    out = L.text_perturbation(fx(spark, sf, "fx_text"), "doc_id", "text", N_SAMPLES, 42, top=20)
+    return out.withColumn("weight", F.round("weight", 6))
+
+
+@query("word_weights", _perturbation_sql(None) + """
+SELECT token, round(avg(abs(weight)), 6) AS weight FROM w GROUP BY token
+ORDER BY round(avg(abs(weight)), 9) DESC, token LIMIT 50""")
+def q_word_weights(spark, sf):
+    w = L.text_perturbation(fx(spark, sf, "fx_text"), "doc_id", "text", N_SAMPLES, 42, top=None)
+    return L.word_weights(w).withColumn("weight", F.round("weight", 6))
+
+
+@query("global_importance", """
+SELECT feature, round(avg(abs(value)), 6) AS importance FROM fx_attr GROUP BY feature
+ORDER BY avg(abs(value)) DESC, feature LIMIT 20""")
+def q_global_importance(spark, sf):
+    return L.global_importance(fx(spark, sf, "fx_attr"), "feature", "value", 20) \
+        .withColumn("importance", F.round("importance", 6))
+
+
+@query("row_waterfall", """
+WITH r AS (SELECT row_id, feature, value,
+                  row_number() OVER (PARTITION BY row_id ORDER BY abs(value) DESC, feature, value) AS rank FROM fx_attr),
+top AS (SELECT row_id, CAST(rank AS INTEGER) AS rank, feature, value FROM r WHERE rank <= 3
+        UNION ALL SELECT row_id, 4, 'other', sum(value) FROM r WHERE rank > 3 GROUP BY row_id)
+SELECT row_id, rank, feature, round(value, 6) AS value,
+       round(sum(value) OVER (PARTITION BY row_id ORDER BY rank ROWS UNBOUNDED PRECEDING), 6) AS cumulative FROM top""")
+def q_row_waterfall(spark, sf):
+    out = L.row_waterfall(fx(spark, sf, "fx_attr"), "row_id", "feature", "value", k=3)
+    return out.withColumn("value", F.round("value", 6)).withColumn("cumulative", F.round("cumulative", 6))
+
+
+@query("importance_matrix", """
+WITH top AS (SELECT feature FROM fx_attr GROUP BY feature ORDER BY avg(abs(value)) DESC, feature LIMIT 10),
+s AS (SELECT row_id, feature, sum(value) AS value FROM fx_attr WHERE feature IN (SELECT feature FROM top) GROUP BY 1, 2)
+SELECT r.row_id, t.feature, round(coalesce(s.value, 0.0), 6) AS value
+FROM (SELECT DISTINCT row_id FROM fx_attr) r CROSS JOIN top t
+LEFT JOIN s ON s.row_id = r.row_id AND s.feature = t.feature""")
+def q_importance_matrix(spark, sf):
+    return L.importance_matrix(fx(spark, sf, "fx_attr"), "row_id", "feature", "value", 10) \
+        .withColumn("value", F.round("value", 6))
+
+
+# ------------------------------------------------------------ model-based (R)
+
+@query("shapley_sampling")
+def q_shapley_sampling(spark, sf):
+    from dxspark.plans.queries_models import model_data
+    d = model_data(spark, sf)
+    train, test = d.where("split = 'train'"), d.where("split = 'test'")
+    model = M.fit_random_forest(train, DIAG_COLS, num_trees=50, max_depth=10)
+    background = sample_n(train, "visit_id", 50, seed=42)  # the reference's background sample
+    return L.shapley_sampling(model, test, "visit_id", DIAG_COLS, background, n_perm=8)
+
+
+def _text_model(spark, sf):
+    t = J.split_stratified(fx(spark, sf, "fx_text").withColumn("label", F.col("label").cast("double")),
+                           "doc_id", "label", 0.2, 42)
+    return t, M.fit_text_classifier(t.where("split = 'train'"), "text")
+
+
+@query("token_occlusion")
+def q_token_occlusion(spark, sf):
+    t, model = _text_model(spark, sf)
+    return L.token_occlusion(model, t.where("split = 'test'"), "doc_id", "text")
+
+
+@query("text_perturbation_model")
+def q_text_perturbation_model(spark, sf):
+    t, model = _text_model(spark, sf)
+    return L.text_perturbation(t.where("split = 'test'"), "doc_id", "text", N_SAMPLES, 42,
+                               scorer=L.model_scorer(model), top=20)
