@@ -20,8 +20,10 @@ def _perturbation_sql(top: int | None) -> str:
     return rf"""
 WITH t AS (SELECT doc_id, unnest(l) AS token, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos
            FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS l FROM fx_text) d),
-ts AS (SELECT t.*, r.s, substr(md5('42|' || CAST(doc_id AS VARCHAR) || '|' || CAST(r.s AS VARCHAR) || '|' || CAST(pos AS VARCHAR)), 1, 1) < '8' AS keep
+x0 AS (SELECT t.*, r.s, ((doc_id % 2147483647) * 48271 + r.s * 7919 + pos * 104729 + 42) % 2147483647 AS x
        FROM t, (SELECT unnest(range(1, {N_SAMPLES} + 1)) AS s) r),
+x1 AS (SELECT doc_id, token, pos, s, (x * x + 12345) % 2147483647 AS x FROM x0),
+ts AS (SELECT doc_id, token, pos, s, ((x * x + 67890) % 2147483647) * 2 < 2147483647 AS keep FROM x1),
 sc AS (SELECT doc_id, s, coalesce(avg(CASE WHEN keep THEN (length(token) % 5) / 4.0 END), 0.5) AS score FROM ts GROUP BY 1, 2),
 w AS (SELECT ts.doc_id, ts.pos, ts.token,
              coalesce(avg(CASE WHEN keep THEN score END) - avg(CASE WHEN NOT keep THEN score END), 0.0) AS weight

@@ -219,7 +219,8 @@ def model_data(spark, sf):
     base = build_binary_dataset(fx(spark, sf, "fx_diag_wide"), "visit_id", DIAG_COLS, "psq",
                                 fx(spark, sf, "fx_crosswalk"), variant="codes")
     data = base.withColumn("label", F.col("psq").rlike("F20.89").cast("double"))
-    return J.split_stratified(data, "visit_id", "label", 0.3, 42)
+    # fitting scans the table once per tree level / boosting round: materialise it once
+    return J.split_stratified(data, "visit_id", "label", 0.3, 42).persist()
 
 
 @query("fit_random_forest")
