@@ -69,6 +69,40 @@ def with_english(df: DataFrame, code: str, crosswalk: DataFrame, cache: DataFram
                                      NO_ENGLISH_TEXT, out)
 
 
+def code_facts(long: DataFrame, code: str, crosswalk: DataFrame) -> DataFrame:
+    """(code, to10, to9) for the distinct codes of `long`: both variant lookups
+    run on the distinct set, so the long table is joined back only once."""
+    d = long.select(F.col(code).alias("code")).where(F.col("code").isNotNull()).distinct()
+    to10 = resolve_variants(d, "code", icd9_to_icd10_index(crosswalk)).select(
+        F.col("_code").alias("code"), F.col("_value").alias("to10"))
+    to9 = resolve_variants(d, "code", icd10_to_icd9_index(crosswalk)).select(
+        F.col("_code").alias("code"), F.col("_value").alias("to9"))
+    return d.join(to10, "code", "left").join(to9, "code", "left")
+
+
+def description_facts(codes: DataFrame, crosswalk: DataFrame, cache: DataFrame | None) -> DataFrame:
+    """(dcode, es, en) for a distinct set of codes (column `dcode`)."""
+    es = resolve_variants(codes, "dcode", description_index(crosswalk)).select(
+        F.col("_code").alias("dcode"), F.col("_value").alias("_es"))
+    out = codes.join(es, "dcode", "left").withColumn("_es", F.coalesce("_es", F.lit(NOT_FOUND_DESCRIPTION)))
+    return with_english(out, "dcode", crosswalk, cache, "_en")
+
+
+def _with_facts(long: DataFrame, crosswalk: DataFrame, cache: DataFrame | None, dcode: Column) -> DataFrame:
+    """Attach to10 / to9 / dcode / es / en to the long table with two joins on
+    distinct-sized fact tables. The universe of description codes is the codes
+    themselves plus their ICD-10 conversions, so it comes from the facts table."""
+    # the facts table feeds three branches; their identical shuffle subtrees are
+    # planned once and reused (ReusedExchange), so the input is not re-exploded
+    facts = code_facts(long, "code", crosswalk)
+    universe = facts.select(F.col("code").alias("dcode")).unionByName(
+        facts.select(F.coalesce("to10", F.lit("")).alias("dcode"))).distinct()
+    dfacts = description_facts(universe, crosswalk, cache)
+    out = long.join(facts.withColumnRenamed("to10", "_to10").withColumnRenamed("to9", "_to9"), "code", "left")
+    out = out.withColumn("_dcode", dcode)
+    return out.join(dfacts.withColumnRenamed("dcode", "_dcode"), "_dcode", "left")
+
+
 def _join_list(arr: Column, field: str, sep: str = ", ", keep_empty: bool = False) -> Column:
     xs = F.transform(F.array_sort(arr), lambda x: x[field])
     if not keep_empty:
@@ -154,11 +188,8 @@ def expand_target_codes(visits: DataFrame, row_key: str, target: str, crosswalk:
     by the row's version. The source-version list is kept as written."""
     v = _row_kind(visits.where(F.col(target).isNotNull()), target, crosswalk)
     long = v.select(row_key, "_is10", F.posexplode(split_codes_comma(target)).alias("pos", "code"))
-    long = with_variant(long, "code", icd9_to_icd10_index(crosswalk), "_to10")
-    long = with_variant(long, "code", icd10_to_icd9_index(crosswalk), "_to9")
-    long = long.withColumn("_dcode", F.when(F.col("_is10"), F.col("code"))
-                           .otherwise(F.coalesce("_to10", F.lit(""))))
-    long = _describe_long(long, "_dcode", crosswalk, cache)
+    long = _with_facts(long, crosswalk, cache,
+                       F.when(F.col("_is10"), F.col("code")).otherwise(F.coalesce("_to10", F.lit(""))))
     item = F.struct("pos", F.coalesce("_to10", F.lit("")).alias("to10"), F.coalesce("_to9", F.lit("")).alias("to9"),
                     F.col("_es").alias("es"), F.col("_dcode").alias("dcode"), F.col("_en").alias("en"))
     per = long.groupBy(row_key).agg(F.collect_list(item).alias("_l"))
@@ -177,12 +208,10 @@ def expand_bracket_codes(visits: DataFrame, row_key: str, target: str, codes_col
     that convert (as '[X]'); ICD-10 rows write '[NN]' for codes without ICD-9."""
     v = _row_kind(visits.where(F.col(target).isNotNull()), target, crosswalk)
     long = v.select(row_key, "_is10", F.posexplode(extract_bracket_codes(codes_col)).alias("pos", "code"))
-    long = with_variant(long, "code", icd9_to_icd10_index(crosswalk), "_to10")
-    long = with_variant(long, "code", icd10_to_icd9_index(crosswalk), "_to9")
     # ICD-9 rows describe only converted codes; ICD-10 rows every code.
-    long = long.withColumn("_dcode", F.when(F.col("_is10"), F.col("code"))
-                           .when(F.col("_to10").isNotNull() & (F.col("_to10") != ""), F.col("_to10")))
-    long = _describe_long(long, "_dcode", crosswalk, cache)
+    long = _with_facts(long, crosswalk, cache,
+                       F.when(F.col("_is10"), F.col("code"))
+                        .when(F.col("_to10").isNotNull() & (F.col("_to10") != ""), F.col("_to10")))
     bracket10 = F.when(F.col("_to10").isNotNull() & (F.col("_to10") != ""), F.concat(F.lit("["), "_to10", F.lit("]")))
     bracket9 = F.when(F.col("_to9").isNotNull() & (F.col("_to9") != ""), F.concat(F.lit("["), "_to9", F.lit("]"))) \
         .otherwise(F.lit(f"[{NO_ICD9}]"))

@@ -273,3 +273,20 @@ def q_grid_search(spark, sf):
     train = J.kfold_assign(d.where("split = 'train'").drop("split"), "visit_id", "label", 5, 42)
     _, results = M.grid_search(train, DIAG_COLS, {"numTrees": [20, 50], "maxDepth": [5, 10]}, "label", "fold")
     return results
+
+
+@query("best_model_per_metric", f"""
+WITH l AS (SELECT grp AS model, metric, value FROM (
+      SELECT grp, 'accuracy' AS metric, accuracy AS value FROM ({METRICS_SQL}) m
+      UNION ALL SELECT grp, 'precision', precision FROM ({METRICS_SQL}) m
+      UNION ALL SELECT grp, 'recall', recall FROM ({METRICS_SQL}) m
+      UNION ALL SELECT grp, 'f1', f1 FROM ({METRICS_SQL}) m) u)
+SELECT metric, model AS best, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, model) AS r FROM l) x WHERE r = 1""")
+def q_best_model_per_metric(spark, sf):
+    """F8: per metric the model with the largest value (ties to the first model name)."""
+    from dxspark.operators.agg import best_per_group
+    m = r6(K.binary_metrics(_scored(spark, sf), "grp"), ["accuracy", "precision", "recall", "f1"])
+    long = m.unpivot(["grp"], ["accuracy", "precision", "recall", "f1"], "metric", "value")
+    best = best_per_group(long, "metric", "grp", "value", out="best")
+    return best.join(long.withColumnRenamed("grp", "best"), ["metric", "best"])

@@ -153,3 +153,13 @@ SELECT term, ord, CAST(to_json(CAST(embedding_text AS FLOAT[])) AS VARCHAR) AS l
 def q_vector_to_literal(spark, sf):
     n = fx(spark, sf, "fx_nodes")
     return n.select("term", "ord", S.vector_to_literal(S.parse_vector_literal("embedding_text")).alias("literal"))
+
+
+@query("upper_text", "SELECT visit_id, upper(provincia) AS provincia FROM fx_visits")
+def q_upper_text(spark, sf):
+    return fx(spark, sf, "fx_visits").select("visit_id", S.upper_text("provincia").alias("provincia"))
+
+
+@query("lower_text", "SELECT visit_id, lower(provincia) AS provincia FROM fx_visits")
+def q_lower_text(spark, sf):
+    return fx(spark, sf, "fx_visits").select("visit_id", S.lower_text("provincia").alias("provincia"))
