@@ -147,20 +147,20 @@ def standardise_row_codes(wide: DataFrame, row_key: str, code_cols: Sequence[str
     todo = flagged.where(F.col("_icd9row")).drop("_icd9row")
     others = [c for c in wide.columns if c not in code_cols]
     cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.col(c).alias("code")) for i, c in enumerate(code_cols, 1)])
-    long = todo.select(row_key, F.inline(cells))
+    # the non-code columns ride along as group keys, so the regroup needs no join back
+    long = todo.select(*others, F.inline(cells))
     long = membership_flag(long, "code", letter_icd9_codes(crosswalk), "icd9", "_letter9")
     needs = long.where(F.col("code").isNotNull() & ~is_blankish("code")
                        & ~(starts_upper_letter("code") & ~F.col("_letter9")))
     hits = resolve_variants(needs, "code", icd9_to_icd10_index(crosswalk))
     conv = long.join(hits, F.col("code") == F.col("_code"), "left").select(
-        row_key, "pos",
+        *others, "pos",
         F.when(F.col("code").isNull(), F.lit(None))
          .when(is_blankish("code"), F.lit(""))
          .when(starts_upper_letter("code") & ~F.col("_letter9"), F.col("code"))
          .otherwise(F.coalesce("_value", F.lit(""))).alias("code"))
-    regrouped = conv.groupBy(row_key).agg(
+    converted = conv.groupBy(*others).agg(
         *[F.max(F.when(F.col("pos") == i, F.col("code"))).alias(c) for i, c in enumerate(code_cols, 1)])
-    converted = todo.select(*others).join(regrouped, row_key)
     return converted.select(*wide.columns).unionByName(keep)
 
 
@@ -243,21 +243,29 @@ def describe_code_list(visits: DataFrame, row_key: str, target: str, crosswalk:
 # ------------------------------------------------------------ I5
 
 def describe_codes(wide: DataFrame, row_key: str, code_cols: Sequence[str], target: str,
-                   crosswalk: DataFrame) -> DataFrame:
+                   crosswalk: DataFrame, keep_codes: bool = False) -> DataFrame:
     """Every code cell -> its first exact description (null for null, '',
-    'null' and misses); the target -> its description or 'No encontrado'."""
+    'null' and misses); the target -> its description or 'No encontrado'.
+    The target is position 0 of the same long table, so all cells are
+    described by one join and re-collected by one aggregation; the other
+    columns ride along as group keys. `keep_codes` also returns the raw cell
+    codes as `_c_<column>` (for combining without a join)."""
     first = first_row_per_key(crosswalk, "icd10", ["description"]).select(
         F.col("icd10").alias("_k"), F.col("description").alias("_d"), F.lit(True).alias("_hit"))
-    cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.col(c).alias("code")) for i, c in enumerate(code_cols, 1)])
-    long = wide.select(row_key, F.inline(cells)).where(~is_blankish("code"))
-    described = long.join(first, F.col("code") == F.col("_k"), "left")
-    regrouped = described.groupBy(row_key).agg(
-        *[F.max(F.when(F.col("pos") == i, F.col("_d"))).alias(c) for i, c in enumerate(code_cols, 1)])
-    tgt = wide.select(row_key, target).join(first, F.col(target) == F.col("_k"), "left").select(
-        row_key, F.when(F.col("_hit"), F.col("_d")).otherwise(F.lit(NOT_FOUND_TARGET)).alias(target))
     others = [c for c in wide.columns if c not in code_cols and c != target]
-    out = wide.select(*others).join(tgt, row_key).join(regrouped, row_key, "left")
-    return out.select(*wide.columns)
+    cells = F.array(F.struct(F.lit(0).alias("pos"), F.col(target).alias("code")),
+                    *[F.struct(F.lit(i).alias("pos"), F.col(c).alias("code")) for i, c in enumerate(code_cols, 1)])
+    long = wide.select(*others, F.inline(cells))
+    described = long.join(first, F.col("code") == F.col("_k"), "left")
+    cell = F.when(~is_blankish("code"), F.col("_d"))
+    tgt = F.when(F.col("_hit"), F.col("_d")).otherwise(F.lit(NOT_FOUND_TARGET))
+    out = described.groupBy(*others).agg(
+        F.max(F.when(F.col("pos") == 0, F.struct(tgt.alias("v")))).alias("_t"),
+        *[F.max(F.when(F.col("pos") == i, cell)).alias(c) for i, c in enumerate(code_cols, 1)],
+        *([F.max(F.when(F.col("pos") == i, F.col("code"))).alias(f"_c_{c}") for i, c in enumerate(code_cols, 1)]
+          if keep_codes else []))
+    out = out.withColumn(target, F.col("_t.v"))
+    return out.select(*wide.columns, *([f"_c_{c}" for c in code_cols] if keep_codes else []))
 
 
 def describe_rejects(wide: DataFrame, code_cols: Sequence[str], crosswalk: DataFrame,
@@ -315,9 +323,9 @@ def build_binary_dataset(wide: DataFrame, row_key: str, code_cols: Sequence[str]
     base = keep_rows_with_any_value(base, code_cols)
     if variant == "codes":
         return base
-    desc = describe_codes(base, row_key, code_cols, target, crosswalk)
     if variant == "descriptions":
-        return desc
-    d = desc.select(row_key, *[F.col(c).alias(f"_d_{c}") for c in code_cols])
-    return base.join(d, row_key).select(
-        row_key, target, *[combine_code_desc(c, f"_d_{c}").alias(c) for c in code_cols])
+        return describe_codes(base, row_key, code_cols, target, crosswalk)
+    both = describe_codes(base.withColumn("_target", F.col(target)), row_key, code_cols, target, crosswalk,
+                          keep_codes=True)
+    return both.select(row_key, F.col("_target").alias(target),
+                       *[combine_code_desc(f"_c_{c}", c).alias(c) for c in code_cols])

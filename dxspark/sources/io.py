@@ -68,13 +68,16 @@ def audit_ragged_lines(df: DataFrame, id_col: str, text: str, sep: str = ",") ->
     """A3: per document, (line number from 1, field count, stripped line) of the
     lines whose field count differs from the first line's. Row-local: the
     lines of one document are generated and filtered in the same task."""
+    def n_fields(line: Column) -> Column:
+        # a naive split gives one field more than there are separators
+        return ((F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit("")))) / len(sep) + 1).cast("int")
+
     lines = df.select(id_col, text_lines(text).alias("_l"))
-    hdr = F.size(F.split(strip_text(F.col("_l")[0]), _java_quote(sep), -1))
-    ex = lines.select(id_col, hdr.alias("_h"), F.posexplode("_l").alias("_i", "_line"))
-    stripped = strip_text("_line")
-    n = F.size(F.split(stripped, _java_quote(sep), -1))
-    return ex.where(n != F.col("_h")).select(
-        id_col, (F.col("_i") + 1).alias("line_no"), n.alias("n_fields"), stripped.alias("line"))
+    ex = lines.select(id_col, n_fields(strip_text(F.col("_l")[0])).alias("_h"),
+                      F.posexplode("_l").alias("_i", "_line"))
+    ex = ex.withColumn("_s", strip_text("_line")).withColumn("_n", n_fields(F.col("_s")))
+    return ex.where(F.col("_n") != F.col("_h")).select(
+        id_col, (F.col("_i") + 1).alias("line_no"), F.col("_n").alias("n_fields"), F.col("_s").alias("line"))
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "|", header: bool = True) -> str:
