@@ -84,6 +84,7 @@ def q_shapley_sampling(spark, sf):
     d = model_data(spark, sf)
     train, test = d.where("split = 'train'"), d.where("split = 'test'")
     model = M.fit_random_forest(train, DIAG_COLS, num_trees=50, max_depth=10)
+    d.unpersist()
     background = sample_n(train, "visit_id", 50, seed=42)  # the reference's background sample
     return L.shapley_sampling(model, test, "visit_id", DIAG_COLS, background, n_perm=8)
 

@@ -227,6 +227,7 @@ def model_data(spark, sf):
 def q_fit_random_forest(spark, sf):
     d = model_data(spark, sf)
     model = M.fit_random_forest(d.where("split = 'train'"), DIAG_COLS, num_trees=100, max_depth=10)
+    d.unpersist()  # fitted; scoring re-reads the (checkpointed) split lazily
     return M.predict_scores(model, d.where("split = 'test'"), ["visit_id"])
 
 
@@ -234,6 +235,7 @@ def q_fit_random_forest(spark, sf):
 def q_fit_decision_tree(spark, sf):
     d = model_data(spark, sf)
     model = M.fit_decision_tree(d.where("split = 'train'"), DIAG_COLS, max_depth=5)
+    d.unpersist()
     return M.predict_scores(model, d.where("split = 'test'"), ["visit_id"])
 
 
@@ -241,6 +243,7 @@ def q_fit_decision_tree(spark, sf):
 def q_fit_gradient_boosting(spark, sf):
     d = model_data(spark, sf)
     model = M.fit_gradient_boosting(d.where("split = 'train'"), DIAG_COLS, "label", "gradient_boosting", maxIter=30)
+    d.unpersist()
     return M.predict_scores(model, d.where("split = 'test'"), ["visit_id"])
 
 
@@ -255,11 +258,12 @@ def q_fit_text_classifier(spark, sf):
 @query("predict_scores")
 def q_predict_scores(spark, sf):
     """K5 + K9/K12: metrics of three fitted tree models on the same test split."""
-    d = model_data(spark, sf).cache()
+    d = model_data(spark, sf)
     train, test = d.where("split = 'train'"), d.where("split = 'test'")
     fits = {"random_forest": M.fit_random_forest(train, DIAG_COLS, num_trees=50, max_depth=10),
             "decision_tree": M.fit_decision_tree(train, DIAG_COLS),
             "gradient_boosting": M.fit_gradient_boosting(train, DIAG_COLS, maxIter=20)}
+    d.unpersist()
     scored = None
     for name, m in fits.items():
         s = M.predict_scores(m, test, ["visit_id"]).withColumn("model", F.lit(name))
@@ -272,6 +276,7 @@ def q_grid_search(spark, sf):
     d = model_data(spark, sf)
     train = J.kfold_assign(d.where("split = 'train'").drop("split"), "visit_id", "label", 5, 42)
     _, results = M.grid_search(train, DIAG_COLS, {"numTrees": [20, 50], "maxDepth": [5, 10]}, "label", "fold")
+    d.unpersist()
     return results
 
 
