@@ -297,9 +297,10 @@ def build_pairs(wide: DataFrame, code_cols: Sequence[str], target: str, names: D
     """I8: (diagnosis name, psychiatric diagnosis name) pairs: complete,
     distinct, self pairs removed."""
     cells = F.array(*[F.col(c) for c in code_cols])
+    # the result is a set, so code pairs are made distinct (map-side) before naming
     pairs = wide.where(F.col(target).isNotNull() & (F.col(target) != "")) \
         .select(F.explode(cells).alias("d"), F.col(target).alias("p")) \
-        .where(F.col("d").isNotNull() & (F.col("d") != ""))
+        .where(F.col("d").isNotNull() & (F.col("d") != "")).distinct()
     na = names.select(F.col(key).alias("_ka"), F.col(name).alias("nombre_diagnostico"))
     nb = names.select(F.col(key).alias("_kb"), F.col(name).alias("nombre_diagnostico_psiquiatrico"))
     named = pairs.join(na, F.col("d") == F.col("_ka"), "left").join(nb, F.col("p") == F.col("_kb"), "left")
