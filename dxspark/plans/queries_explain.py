@@ -31,7 +31,8 @@ w AS (SELECT ts.doc_id, ts.pos, ts.token,
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(weight), 9) DESC, pos) AS INTEGER) AS rank FROM w)"""
 
 
-@query("text_perturbation", _perturbation_sql(20) + "\nSELECT doc_id, pos, token, round(weight, 6) AS weight, rank FROM ranked WHERE rank <= 20")
+# "+ 0.0" turns the engine's -0.0 from rounding a tiny negative into 0.0, as Spark's round does
+@query("text_perturbation", _perturbation_sql(20) + "\nSELECT doc_id, pos, token, round(weight, 6) + 0.0 AS weight, rank FROM ranked WHERE rank <= 20")
 def q_text_perturbation(spark, sf):
     out = L.text_perturbation(fx(spark, sf, "fx_text"), "doc_id", "text", N_SAMPLES, 42, top=20)
     return out.withColumn("weight", F.round("weight", 6))
@@ -58,8 +59,8 @@ WITH r AS (SELECT row_id, feature, value,
                   row_number() OVER (PARTITION BY row_id ORDER BY abs(value) DESC, feature, value) AS rank FROM fx_attr),
 top AS (SELECT row_id, CAST(rank AS INTEGER) AS rank, feature, value FROM r WHERE rank <= 3
         UNION ALL SELECT row_id, 4, 'other', sum(value) FROM r WHERE rank > 3 GROUP BY row_id)
-SELECT row_id, rank, feature, round(value, 6) AS value,
-       round(sum(value) OVER (PARTITION BY row_id ORDER BY rank ROWS UNBOUNDED PRECEDING), 6) AS cumulative FROM top""")
+SELECT row_id, rank, feature, round(value, 6) + 0.0 AS value,
+       round(sum(value) OVER (PARTITION BY row_id ORDER BY rank ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS cumulative FROM top""")
 def q_row_waterfall(spark, sf):
     out = L.row_waterfall(fx(spark, sf, "fx_attr"), "row_id", "feature", "value", k=3)
     return out.withColumn("value", F.round("value", 6)).withColumn("cumulative", F.round("cumulative", 6))
@@ -68,7 +69,7 @@ def q_row_waterfall(spark, sf):
 @query("importance_matrix", """
 WITH top AS (SELECT feature FROM fx_attr GROUP BY feature ORDER BY avg(abs(value)) DESC, feature LIMIT 10),
 s AS (SELECT row_id, feature, sum(value) AS value FROM fx_attr WHERE feature IN (SELECT feature FROM top) GROUP BY 1, 2)
-SELECT r.row_id, t.feature, round(coalesce(s.value, 0.0), 6) AS value
+SELECT r.row_id, t.feature, round(coalesce(s.value, 0.0), 6) + 0.0 AS value
 FROM (SELECT DISTINCT row_id FROM fx_attr) r CROSS JOIN top t
 LEFT JOIN s ON s.row_id = r.row_id AND s.feature = t.feature""")
 def q_importance_matrix(spark, sf):

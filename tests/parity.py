@@ -41,8 +41,8 @@ def _norm(v):
             return None
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
-        r = round(v, 6)
-        return 0.0 if r == 0 else r
+        # repr keeps the sign of zero: -0.0 and 0.0 hash differently downstream
+        return repr(round(v, 6))
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if hasattr(v, "tolist"):
