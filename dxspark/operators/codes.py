@@ -20,7 +20,7 @@ from dxspark.functions.scalars import (
     starts_upper_letter, strip_trailing_dot,
 )
 from dxspark.operators.lookup import (
-    first_row_per_key, lookup_first, lookup_with_cache_default, membership_flag,
+    first_row_per_key, lookup_with_cache_default, membership_flag,
     resolve_variants, variant_index,
 )
 from dxspark.operators.reshape import DEFAULT_DESCRIPTION, filter_letter_codes
@@ -174,13 +174,6 @@ def _row_kind(visits: DataFrame, target: str, crosswalk: DataFrame) -> DataFrame
         .drop("_letter9")
 
 
-def _describe_long(long: DataFrame, code: str, crosswalk: DataFrame, cache: DataFrame | None,
-                   es: str = "_es", en: str = "_en") -> DataFrame:
-    out = with_variant(long, code, description_index(crosswalk), es)
-    out = out.withColumn(es, F.coalesce(F.col(es), F.lit(NOT_FOUND_DESCRIPTION)))
-    return with_english(out, code, crosswalk, cache, en)
-
-
 def expand_target_codes(visits: DataFrame, row_key: str, target: str, crosswalk: DataFrame,
                         cache: DataFrame | None = None) -> DataFrame:
     """From a comma list of target codes, the ICD-10 list, the ICD-9 list and

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from dxspark.operators import features as J
 from dxspark.operators import metrics as K
 from dxspark.operators import models as M
-from dxspark.operators.reshape import filter_contains_any
 from dxspark.plans.fixtures import fx
 from dxspark.plans.queries_agg import DIAG_COLS
 from dxspark.plans.queries_reshape import LANGS
