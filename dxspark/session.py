@@ -59,8 +59,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
-    else:
+    elif sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="dxspark-ckpt-", dir="/tmp"))
+    else:
+        # a machine-local folder would not be visible to the executors
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store) for this cluster")
     return sc.getCheckpointDir()
 
 
