@@ -48,7 +48,7 @@ def q_word_weights(spark, sf):
 
 @query("global_importance", """
 SELECT feature, round(avg(abs(value)), 6) AS importance FROM fx_attr GROUP BY feature
-ORDER BY avg(abs(value)) DESC, feature LIMIT 20""")
+ORDER BY round(avg(abs(value)), 9) DESC, feature LIMIT 20""")
 def q_global_importance(spark, sf):
     return L.global_importance(fx(spark, sf, "fx_attr"), "feature", "value", 20) \
         .withColumn("importance", F.round("importance", 6))
@@ -67,7 +67,7 @@ def q_row_waterfall(spark, sf):
 
 
 @query("importance_matrix", """
-WITH top AS (SELECT feature FROM fx_attr GROUP BY feature ORDER BY avg(abs(value)) DESC, feature LIMIT 10),
+WITH top AS (SELECT feature FROM fx_attr GROUP BY feature ORDER BY round(avg(abs(value)), 9) DESC, feature LIMIT 10),
 s AS (SELECT row_id, feature, sum(value) AS value FROM fx_attr WHERE feature IN (SELECT feature FROM top) GROUP BY 1, 2)
 SELECT r.row_id, t.feature, round(coalesce(s.value, 0.0), 6) + 0.0 AS value
 FROM (SELECT DISTINCT row_id FROM fx_attr) r CROSS JOIN top t
