@@ -1,11 +1,13 @@
 """Code-standardisation jobs (inventory I1-I10) over a crosswalk dictionary
 `(ord, icd9, icd10, description)`; `icd9 = 'NN'` means "no ICD-9".
 
-Shape of every job: explode the codes of a row with their position, resolve the
-*distinct* codes once through the variant index (D5; one equi-join on the
-stem, no per-code probing), join the answers back, and re-collect per row
-(each row holds a bounded list of codes). Shuffles: one for the distinct
-codes, one for the join back, one for the regroup by row key.
+Shape of every job: explode the codes of a row with their position, reduce
+them to the *distinct* codes, resolve those through the variant indexes (D5:
+one equi-join on the stem, no per-code probing) into a fact table, join the
+facts back once, and re-collect per row (each row holds a bounded list of
+codes). The large table is shuffled for the distinct step, the join back and
+the regroup; every other shuffle is over dictionary- or distinct-code-sized
+tables. Columns that are not codes ride along as group keys of the regroup.
 """
 
 from __future__ import annotations
