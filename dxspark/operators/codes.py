@@ -75,11 +75,15 @@ def code_facts(long: DataFrame, code: str, crosswalk: DataFrame) -> DataFrame:
     """(code, to10, to9) for the distinct codes of `long`: both variant lookups
     run on the distinct set, so the long table is joined back only once."""
     d = long.select(F.col(code).alias("code")).where(F.col("code").isNotNull()).distinct()
-    to10 = resolve_variants(d, "code", icd9_to_icd10_index(crosswalk)).select(
-        F.col("_code").alias("code"), F.col("_value").alias("to10"))
-    to9 = resolve_variants(d, "code", icd10_to_icd9_index(crosswalk)).select(
-        F.col("_code").alias("code"), F.col("_value").alias("to9"))
-    return d.join(to10, "code", "left").join(to9, "code", "left")
+    # both directions in one join: the two stem indexes are stacked with a tag,
+    # and one aggregation keeps the best hit per direction (min_by skips the
+    # rows whose ordering is null, i.e. the other direction's)
+    idx = icd9_to_icd10_index(crosswalk).withColumn("_dir", F.lit(10)).unionByName(
+        icd10_to_icd9_index(crosswalk).withColumn("_dir", F.lit(9)))
+    hits = d.join(idx, F.col("code") == F.col("stem")).groupBy("code").agg(
+        F.min_by("value", F.when(F.col("_dir") == 10, F.col("pri"))).alias("to10"),
+        F.min_by("value", F.when(F.col("_dir") == 9, F.col("pri"))).alias("to9"))
+    return d.join(hits, "code", "left")
 
 
 def description_facts(codes: DataFrame, crosswalk: DataFrame, cache: DataFrame | None) -> DataFrame:
