@@ -7,7 +7,9 @@ buckets before it. The per-bucket totals have at most
 `n_buckets x n_groups` rows, so only that small table is windowed globally.
 The bucketed table is checkpointed (reliably, into the shared checkpoint
 folder) so that bucket numbers stay fixed if an executor is lost and a stage
-is recomputed.
+is recomputed. Positions alone need a single shuffle (rows are sorted inside
+their range partition before the checkpoint); running sums add one window
+pass partitioned by bucket.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ def ordered_running(df: DataFrame, order: Sequence, groups: Sequence[str] = (),
     groups = list(groups)
     order_exprs = [_sort_expr(o) for o in order]
     range_exprs = [F.col(g).asc_nulls_first() for g in groups] + order_exprs
+    if pos and not sums:
+        return _positions_only(df, range_exprs, groups, pos, n_buckets)
     ranged = (df.repartitionByRange(n_buckets, *range_exprs)
               .withColumn(_B, F.spark_partition_id())
               .checkpoint(eager=True))
@@ -58,6 +62,27 @@ def ordered_running(df: DataFrame, order: Sequence, groups: Sequence[str] = (),
     return out.drop(*drop)
 
 
+def _positions_only(df: DataFrame, range_exprs: list, groups: list, pos: str, n_buckets: int) -> DataFrame:
+    """Positions with a single shuffle: rows are sorted inside each range
+    partition before the checkpoint, so the partition-local ordinal of
+    `monotonically_increasing_id` (partition index in the upper bits, record
+    number in the lower 33) is the rank inside the bucket; the checkpoint
+    fixes it. Only the per-bucket totals (buckets x groups rows) are
+    aggregated and windowed; they reach the rows through a small join."""
+    ranked = (df.repartitionByRange(n_buckets, *range_exprs)
+              .sortWithinPartitions(*range_exprs)
+              .withColumn(_B, F.spark_partition_id())
+              .withColumn("_L", F.monotonically_increasing_id()
+                          - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+              .checkpoint(eager=True))
+    totals = ranked.groupBy(_B, *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_L").alias("_l0"))
+    before = Window.partitionBy(*groups).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_B, *groups, "_l0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n"))
+    out = ranked.join(offsets, [_B, *groups])
+    return out.withColumn(pos, (F.col("_o_n") + F.col("_L") - F.col("_l0") + 1).cast("long")) \
+        .drop(_B, "_L", "_l0", "_o_n")
+
+
 def group_sizes(df: DataFrame, groups: Sequence[str], name: str = "n") -> DataFrame:
     """Rows per group (partial + final aggregation)."""
     return df.groupBy(*groups).agg(F.count(F.lit(1)).alias(name))

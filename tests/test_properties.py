@@ -180,3 +180,14 @@ def test_text_explanations(spark):
     pert = L.text_perturbation(docs, "doc_id", "text", 16, scorer=L.model_scorer(model), top=20).toPandas()
     for _, part in pert.groupby("doc_id"):
         assert len(part) <= 20 and sorted(part["rank"]) == list(range(1, len(part) + 1))
+
+
+def test_positions_only_path_matches_pandas(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.choice("xy"), rnd.random(), i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, r double, i int")
+    got = ordered_running(df, [F.col("r").desc(), "i"], groups=["g"], n_buckets=5).toPandas()
+    exp = pd.DataFrame(rows, columns=["g", "r", "i"]).sort_values(["g", "r", "i"], ascending=[True, False, True])
+    exp["pos_e"] = exp.groupby("g").cumcount() + 1
+    m = got.merge(exp, on=["g", "i"])
+    assert len(m) == len(rows) and (m["pos"] == m["pos_e"]).all()
