@@ -163,7 +163,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ben
         if k:
             now = stored(now, "decontaminate")
         now = now.mapInArrow(_marker(spark.sparkContext.broadcast(rows), window, shard_words), now.schema)
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda i: i.isNotNull())))
+    ids = F.sort_array(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda i: i.isNotNull())))
     return now.select(*kept, "n_words", "n_hit", F.size(ids).cast("bigint").alias("n_items"),
                       F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
                       F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"),

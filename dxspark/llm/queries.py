@@ -7,16 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dxspark.llm.decontaminate import op7_decontaminate
+from dxspark.llm.langid import op6_language
 from dxspark.llm.mixing import op10_mixing
 from dxspark.llm.quality import op3_quality
 from dxspark.llm.shard import op8_sharding
 from dxspark.llm.simhash import op4_simhash
+from dxspark.llm.toxicity import op5_toxicity
+from dxspark.llm.urls import OP9_SQL, op9_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op7_decontaminate": op7_decontaminate,
     "op8_sharding": op8_sharding,
+    "op9_urls": op9_urls,
     "op10_mixing": op10_mixing,
 }
 
@@ -29,4 +35,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["pipeline"] = pipeline
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_urls": OP9_SQL}
