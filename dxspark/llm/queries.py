@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dxspark.llm.decontaminate import op7_decontaminate
 from dxspark.llm.katz import op2_katz
 from dxspark.llm.langid import op6_language
+from dxspark.llm.lines import op1_lines
 from dxspark.llm.mixing import op10_mixing
 from dxspark.llm.quality import op3_quality
 from dxspark.llm.shard import op8_sharding
@@ -17,6 +18,7 @@ from dxspark.llm.toxicity import op5_toxicity
 from dxspark.llm.urls import OP9_SQL, op9_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
     "op2_katz": op2_katz,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
