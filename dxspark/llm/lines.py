@@ -38,6 +38,8 @@ from dxspark.llm.common import connected_components, stored, table
 THRESHOLD = 2
 MIN_CHARS = 32
 LETTERS = "etaoins"
+#: candidate hashes, 8 bytes each, that are sent to every task at most
+BROADCAST_KEYS = 1_000_000
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,14 +85,16 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     sized = lines.select("h", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("sig"))
     stand = [_key(n, i, F.substr("line", *_segment(n, i, parts))) for i in range(parts)]
     index = sized.select(F.explode(F.array(*stand)).alias("key"), F.col("h").alias("a"), F.col("sig").alias("a_sig"))
-    asked = []
+    asked, lesser = [], []
     for less in range(threshold + 1):
         for i in range(parts):
             begin, size = _segment(n - less, i, parts)
             for shift in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1):
                 inside = (begin + shift >= 1) & (begin + shift + size - 1 <= n)
-                asked.append(F.when(inside, F.struct(_key(n - less, i, F.substr("line", begin + shift, size)).alias("key"), F.col("sig").bitwiseOR(F.lit(less)).alias("b_sig"))))
-    probe = sized.select(F.col("h").alias("b"), F.explode(F.array(*asked)).alias("p")).where("p IS NOT NULL").select("b", "p.key", "p.b_sig")
+                asked.append(F.when(inside, _key(n - less, i, F.substr("line", begin + shift, size))))
+                lesser.append(F.lit(less))
+    probe = (sized.select(F.col("h").alias("b"), "sig", F.posexplode(F.array(*asked)).alias("at", "key")).where("key IS NOT NULL")
+             .select("b", "key", F.col("sig").bitwiseOR(F.get(F.array(*lesser), F.col("at"))).alias("b_sig")))
     once = (F.col("b_sig").bitwiseAND(F.lit(255)) > 0) | (F.col("a") < F.col("b"))
     near = _letters_apart(F.col("a_sig"), F.col("b_sig")) <= 2 * threshold
     return index.join(probe, "key").where(once & near & (F.col("a") != F.col("b"))).select("a", "b").distinct()
@@ -140,7 +144,9 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(a, b, edits): hashes of different lines within `threshold` edits."""
     long = lines_of(docs, id_col, text_col).where(F.length("line") >= min_chars).select("h", "line")
     pairs = stored(candidates(long.dropDuplicates(["h"]), threshold), "line_pairs")
-    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+    wanted = stored(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "line_wanted")
+    if wanted.count() <= BROADCAST_KEYS:  # else the lines are shuffled to them
+        wanted = F.broadcast(wanted)
     texts = stored(long.join(wanted, "h", "left_semi").dropDuplicates(["h"]).select("h", F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)).alias("chars")), "line_texts")
     met = (pairs.join(texts.select(F.col("h").alias("a"), F.col("chars").alias("r")), "a").join(texts.select(F.col("h").alias("b"), F.col("chars").alias("s")), "b"))
     return stored(met.select("a", "b", within(F.col("r"), F.col("s"), threshold).alias("edits")), "line_met").where(F.col("edits") <= threshold)
