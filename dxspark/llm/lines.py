@@ -48,15 +48,11 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """Begin (from 1) and length of segment i (from 0) of a line so long."""
     base, longer = F.floor(length / parts).cast("int"), length % parts
-    ahead = F.greatest(F.lit(0), F.lit(i - parts) + longer)  # the last `longer` segments have one more
-    return base * i + ahead + 1, base + (F.lit(i) >= parts - longer).cast("int")
-
-
-def _key(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), text)
+    ahead = F.greatest(F.lit(0), i - parts + longer)  # the last `longer` segments have one more
+    return base * i + ahead + 1, base + (i >= parts - longer).cast("int")
 
 
 def _letters(line: Column) -> Column:
@@ -68,35 +64,37 @@ def _letters(line: Column) -> Column:
     return out
 
 
-def _letters_apart(a: Column, b: Column) -> Column:
-    total = F.lit(0)
+def _letters_near(a: Column, b: Column, threshold: int) -> Column:
+    """Whether so few edits can turn the counts a into b: each adds at most one
+    letter and removes at most one."""
+    more = fewer = F.lit(0)
     for k in range(1, len(LETTERS) + 1):
         d = (F.shiftright(a, 8 * k) - F.shiftright(b, 8 * k)).bitwiseAND(F.lit(127))
-        total = total + F.least(d, 128 - d)
-    return total
+        more, fewer = more + F.when(d < 64, d).otherwise(0), fewer + F.when(d >= 64, 128 - d).otherwise(0)
+    return (more <= threshold) & (fewer <= threshold)
 
 
 def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): hashes of lines that share a segment in place; each pair once.
 
-    lines: `h`, `line`, without repeats of h.
+    lines: `h`, `line`, its length `n` and its `sig`, without repeats of h. The
+    windows are rows of a small constant array, so that one short expression
+    makes every key.
     """
     parts, n = threshold + 1, F.col("n")
-    sized = lines.select("h", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("sig"))
-    stand = [_key(n, i, F.substr("line", *_segment(n, i, parts))) for i in range(parts)]
-    index = sized.select(F.explode(F.array(*stand)).alias("key"), F.col("h").alias("a"), F.col("sig").alias("a_sig"))
-    asked, lesser = [], []
-    for less in range(threshold + 1):
-        for i in range(parts):
-            begin, size = _segment(n - less, i, parts)
-            for shift in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1):
-                inside = (begin + shift >= 1) & (begin + shift + size - 1 <= n)
-                asked.append(F.when(inside, _key(n - less, i, F.substr("line", begin + shift, size))))
-                lesser.append(F.lit(less))
-    probe = (sized.select(F.col("h").alias("b"), "sig", F.posexplode(F.array(*asked)).alias("at", "key")).where("key IS NOT NULL")
-             .select("b", "key", F.col("sig").bitwiseOR(F.get(F.array(*lesser), F.col("at"))).alias("b_sig")))
+    begin, size = _segment(n, F.col("i"), parts)
+    index = (lines.select("h", "line", "n", "sig", F.explode(F.array(*[F.lit(i) for i in range(parts)])).alias("i"))
+             .select(F.xxhash64("n", "i", F.substr("line", begin, size)).alias("key"), F.col("h").alias("a"), F.col("sig").alias("a_sig")))
+    windows = [(less, i, shift) for less in range(threshold + 1) for i in range(parts)
+               for shift in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1)]
+    window = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in windows])
+    length = n - F.col("less")
+    begin, size = _segment(length, F.col("i"), parts)
+    begin = begin + F.col("shift")
+    probe = (lines.select("h", "line", "n", "sig", F.inline(window)).where((begin >= 1) & (begin + size - 1 <= n))
+             .select(F.col("h").alias("b"), F.xxhash64(length, "i", F.substr("line", begin, size)).alias("key"), F.col("sig").bitwiseOR(F.col("less")).alias("b_sig")))
     once = (F.col("b_sig").bitwiseAND(F.lit(255)) > 0) | (F.col("a") < F.col("b"))
-    near = _letters_apart(F.col("a_sig"), F.col("b_sig")) <= 2 * threshold
+    near = _letters_near(F.col("a_sig"), F.col("b_sig"), threshold)
     return index.join(probe, "key").where(once & near & (F.col("a") != F.col("b"))).select("a", "b").distinct()
 
 
@@ -143,7 +141,8 @@ def within(r: Column, s: Column, threshold: int) -> Column:
 def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b, edits): hashes of different lines within `threshold` edits."""
     long = lines_of(docs, id_col, text_col).where(F.length("line") >= min_chars).select("h", "line")
-    pairs = stored(candidates(long.dropDuplicates(["h"]), threshold), "line_pairs")
+    measured = long.select("h", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("sig"))
+    pairs = stored(candidates(measured.dropDuplicates(["h"]), threshold), "line_pairs")
     wanted = stored(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "line_wanted")
     if wanted.count() <= BROADCAST_KEYS:  # else the lines are shuffled to them
         wanted = F.broadcast(wanted)
