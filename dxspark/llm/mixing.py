@@ -31,7 +31,7 @@ from dxspark.llm.common import n_words, stored, table
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-RANGE_ROWS = 1 << 15
+RANGE_ROWS = 1 << 12
 MAX_SOURCES = 1_000_000
 MADE = {"size", "source_size", "target", "taken", "copies"}
 
