@@ -8,6 +8,7 @@ import zlib
 
 import xxhash
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BENCH_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
