@@ -54,7 +54,7 @@ FROM (SELECT regexp_replace(code, '^\s+|\s+$', '', 'g') AS code, cod_postal
 WHERE code IS NOT NULL AND cod_postal IS NOT NULL
 GROUP BY 1, 2""")
 def q_count_per_value_by_area(spark, sf):
-    # leon_map: the exploded rows of one province, counted per (code, postal code).
+    # the exploded rows of one province, counted per (code, postal code).
     from dxspark.functions.scalars import split_codes_comma
     v = fx(spark, sf, "fx_visits").where(upper_text("provincia") == "NATION_7")
     rows = v.select(F.explode(split_codes_comma("psq")).alias("code"),
