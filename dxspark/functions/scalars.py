@@ -20,9 +20,14 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: The characters that Python's str.strip() takes off.
+STRIP_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+               "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_text(c) -> Column:
     """H9: Python-style strip (all leading/trailing whitespace, not just blanks)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(STRIP_CHARS))
 
 
 def insert_dot(c) -> Column:

@@ -7,7 +7,7 @@ one equi-join on the stem, no per-code probing) into a fact table, join the
 facts back once, and re-collect per row (each row holds a bounded list of
 codes). The large table is shuffled for the distinct step, the join back and
 the regroup; every other shuffle is over dictionary- or distinct-code-sized
-tables. Columns that are not codes ride along as group keys of the regroup.
+tables. Columns that are not codes ride on the first cell of their row.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dxspark.functions.scalars import (
     starts_upper_letter, strip_trailing_dot,
 )
 from dxspark.operators.lookup import (
-    first_row_per_key, lookup_with_cache_default, membership_flag,
+    first_row_per_key, lookup_with_cache_default, membership_flag, rekeyed,
     resolve_variants, variant_index,
 )
 from dxspark.operators.reshape import DEFAULT_DESCRIPTION, filter_letter_codes
@@ -59,7 +59,7 @@ def letter_icd9_codes(crosswalk: DataFrame) -> DataFrame:
 def with_variant(df: DataFrame, code: str, index: DataFrame, out: str) -> DataFrame:
     """Attach the variant-resolved value of `code` (null on a miss)."""
     hits = resolve_variants(df, code, index)
-    return df.join(hits, F.col(code) == F.col("_code"), "left").drop("_code", "_pri") \
+    return df.join(rekeyed(hits, "_code", "_key"), F.col(code) == F.col("_key"), "left").drop("_key", "_pri") \
         .withColumnRenamed("_value", out)
 
 
@@ -104,9 +104,9 @@ def _with_facts(long: DataFrame, crosswalk: DataFrame, cache: DataFrame | None,
     universe = facts.select(F.col("code").alias("dcode")).unionByName(
         facts.select(F.coalesce("to10", F.lit("")).alias("dcode"))).distinct()
     dfacts = description_facts(universe, crosswalk, cache)
-    out = long.join(facts.withColumnRenamed("to10", "_to10").withColumnRenamed("to9", "_to9"), "code", "left")
-    out = out.withColumn("_dcode", dcode)
-    return out.join(dfacts.withColumnRenamed("dcode", "_dcode"), "_dcode", "left")
+    found = rekeyed(facts.withColumnsRenamed({"to10": "_to10", "to9": "_to9"}), "code", "_key")
+    out = long.join(found, F.col("code") == F.col("_key"), "left").drop("_key").withColumn("_dcode", dcode)
+    return out.join(rekeyed(dfacts, "dcode", "_key"), F.col("_dcode") == F.col("_key"), "left").drop("_key")
 
 
 def _join_list(arr: Column, field: str, sep: str = ", ", keep_empty: bool = False) -> Column:
@@ -143,30 +143,46 @@ def clean_crosswalk(undotted: DataFrame, described: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ I2
 
+def _cells(wide: DataFrame, row_key: str, cols: Sequence[str], others: Sequence[str]) -> DataFrame:
+    """(row_key, _h, pos from 0, code, _o): one row per cell of `cols`. `_h` is a
+    hash of the whole row, so that rows that share a key are not mixed; the
+    columns `others` ride on the first cell only."""
+    h = F.xxhash64(*[x for c in wide.columns for x in (F.col(c), F.col(c).isNull())])
+    other = F.struct(*[F.col(c) for c in others])
+    cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.col(c).alias("code"),
+                               (other if i == 0 else F.lit(None)).alias("_o")) for i, c in enumerate(cols)])
+    return wide.select(F.col(row_key).alias("_key"), h.alias("_h"), F.inline(cells))
+
+
+def _rows(cells: DataFrame, aggs: Sequence[Column]) -> DataFrame:
+    """The rows of `_cells` again, equal ones as often as they were."""
+    n = F.count_if(F.col("pos") == 0).alias("_n")
+    out = cells.groupBy("_key", "_h").agg(*aggs, F.first("_o", ignorenulls=True).alias("_o"), n)
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("*", "_o.*")
+
+
 def standardise_row_codes(wide: DataFrame, row_key: str, code_cols: Sequence[str], target: str,
                           crosswalk: DataFrame) -> DataFrame:
     """In rows whose target is ICD-9 (H6), every code cell becomes ICD-10:
     null stays null, '' / 'null' -> '', ICD-10 codes stay, others go through
-    the ICD-9 -> ICD-10 variant lookup; a miss becomes ''. Other rows untouched."""
+    the ICD-9 -> ICD-10 variant lookup; a miss becomes ''. Other rows untouched.
+    Keys may repeat or be null; equal rows stay as many."""
     flagged = wide.withColumn("_icd9row", is_icd9_by_letter(target))
     keep = flagged.where(~F.col("_icd9row")).drop("_icd9row")
     todo = flagged.where(F.col("_icd9row")).drop("_icd9row")
     others = [c for c in wide.columns if c not in code_cols]
-    cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.col(c).alias("code")) for i, c in enumerate(code_cols, 1)])
-    # the non-code columns ride along as group keys, so the regroup needs no join back
-    long = todo.select(*others, F.inline(cells))
+    long = _cells(todo, row_key, code_cols, others)
     long = membership_flag(long, "code", letter_icd9_codes(crosswalk), "icd9", "_letter9")
     needs = long.where(F.col("code").isNotNull() & ~is_blankish("code")
                        & ~(starts_upper_letter("code") & ~F.col("_letter9")))
-    hits = resolve_variants(needs, "code", icd9_to_icd10_index(crosswalk))
+    hits = rekeyed(resolve_variants(needs, "code", icd9_to_icd10_index(crosswalk)), "_code", "_code")
     conv = long.join(hits, F.col("code") == F.col("_code"), "left").select(
-        *others, "pos",
+        "_key", "_h", "_o", "pos",
         F.when(F.col("code").isNull(), F.lit(None))
          .when(is_blankish("code"), F.lit(""))
          .when(starts_upper_letter("code") & ~F.col("_letter9"), F.col("code"))
          .otherwise(F.coalesce("_value", F.lit(""))).alias("code"))
-    converted = conv.groupBy(*others).agg(
-        *[F.max(F.when(F.col("pos") == i, F.col("code"))).alias(c) for i, c in enumerate(code_cols, 1)])
+    converted = _rows(conv, [F.max(F.when(F.col("pos") == i, F.col("code"))).alias(c) for i, c in enumerate(code_cols)])
     return converted.select(*wide.columns).unionByName(keep)
 
 
@@ -246,23 +262,21 @@ def describe_codes(wide: DataFrame, row_key: str, code_cols: Sequence[str], targ
     """Every code cell -> its first exact description (null for null, '',
     'null' and misses); the target -> its description or 'No encontrado'.
     The target is position 0 of the same long table, so all cells are
-    described by one join and re-collected by one aggregation; the other
-    columns ride along as group keys. `keep_codes` also returns the raw cell
-    codes as `_c_<column>` (for combining without a join)."""
+    described by one join and re-collected by one aggregation; keys may repeat
+    or be null, and equal rows stay as many. `keep_codes` also returns the raw
+    cell codes as `_c_<column>` (for combining without a join)."""
     first = first_row_per_key(crosswalk, "icd10", ["description"]).select(
         F.col("icd10").alias("_k"), F.col("description").alias("_d"), F.lit(True).alias("_hit"))
     others = [c for c in wide.columns if c not in code_cols and c != target]
-    cells = F.array(F.struct(F.lit(0).alias("pos"), F.col(target).alias("code")),
-                    *[F.struct(F.lit(i).alias("pos"), F.col(c).alias("code")) for i, c in enumerate(code_cols, 1)])
-    long = wide.select(*others, F.inline(cells))
-    described = long.join(first, F.col("code") == F.col("_k"), "left")
+    long = _cells(wide, row_key, [target, *code_cols], others)
+    described = long.join(rekeyed(first, "_k", "_k"), F.col("code") == F.col("_k"), "left")
     cell = F.when(~is_blankish("code"), F.col("_d"))
     tgt = F.when(F.col("_hit"), F.col("_d")).otherwise(F.lit(NOT_FOUND_TARGET))
-    out = described.groupBy(*others).agg(
+    out = _rows(described, [
         F.max(F.when(F.col("pos") == 0, F.struct(tgt.alias("v")))).alias("_t"),
         *[F.max(F.when(F.col("pos") == i, cell)).alias(c) for i, c in enumerate(code_cols, 1)],
         *([F.max(F.when(F.col("pos") == i, F.col("code"))).alias(f"_c_{c}") for i, c in enumerate(code_cols, 1)]
-          if keep_codes else []))
+          if keep_codes else [])])
     out = out.withColumn(target, F.col("_t.v"))
     return out.select(*wide.columns, *([f"_c_{c}" for c in code_cols] if keep_codes else []))
 
@@ -316,11 +330,14 @@ def build_binary_dataset(wide: DataFrame, row_key: str, code_cols: Sequence[str]
                          variant: str = "combined") -> DataFrame:
     """Keep target rows, mask leaking codes, drop rows without codes, then
     the codes / descriptions / combined ('code: description') variant."""
-    from dxspark.operators.reshape import (combine_code_desc, filter_contains_any,
-                                           keep_rows_with_any_value, mask_leaking_codes)
+    from dxspark.operators.reshape import combine_code_desc, filter_contains_any, has_value
     base = filter_contains_any(wide, target, list(targets))
-    base = mask_leaking_codes(base.select(row_key, target, *code_cols), target, list(leak_patterns))
-    base = keep_rows_with_any_value(base, code_cols)
+    # one array column: with a filter over twenty computed columns the optimizer
+    # rewrites the condition for every subset of them
+    leaks = "|".join(f"(?:{p})" for p in leak_patterns)
+    masked = F.transform(F.array(*[F.col(c) for c in code_cols]), lambda x: F.when(~x.rlike(leaks), x))
+    base = base.select(row_key, target, masked.alias("_codes")).where(F.exists("_codes", has_value))
+    base = base.select(row_key, target, *[F.col("_codes")[i].alias(c) for i, c in enumerate(code_cols)])
     if variant == "codes":
         return base
     if variant == "descriptions":

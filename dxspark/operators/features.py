@@ -10,14 +10,13 @@ single-partition window).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dxspark.functions.scalars import col
-from dxspark.operators.ordering import ordered_running
+from dxspark.operators.ordering import join_groups, ordered_running
 
 # The word pattern (two or more word characters, Unicode) and a
 # short English function-word list used as the default stop list.
@@ -59,11 +58,18 @@ def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_idx") -> Da
 
 
 def one_hot(df: DataFrame, ids: Sequence[str], c, values: Sequence[str] | None = None,
-            name: str = "_cat") -> DataFrame:
-    """One 0/1 column per observed value (pass `values` to fix the columns)."""
-    base = df.select(*ids, col(c).alias(name))
-    out = base.groupBy(*ids).pivot(name, list(values) if values is not None else None).agg(F.count(F.lit(1)))
-    return out.fillna(0)
+            numeric: Sequence[str] = (), max_values: int = 10_000) -> DataFrame:
+    """Each row with one 0/1 column per value; `numeric` columns pass through.
+
+    Pass `values` to fix the columns. Otherwise they are the values found, read
+    to the driver; more than `max_values` of them are an error. A null is 0 in
+    every column."""
+    if values is None:
+        found = df.select(col(c).alias("_v")).where(F.col("_v").isNotNull()).distinct().limit(max_values + 1).collect()
+        if len(found) > max_values:
+            raise ValueError(f"one_hot: more than {max_values} values")
+        values = sorted(r["_v"] for r in found)
+    return df.select(*ids, *numeric, *[F.coalesce((col(c) == v).cast("long"), F.lit(0)).alias(str(v)) for v in values])
 
 
 # ------------------------------------------------------------------ J3
@@ -117,9 +123,11 @@ def _hash(id_col: str, seed: int) -> Column:
 def _positions(df: DataFrame, id_col: str, seed: int, groups: Sequence[str] = ()) -> DataFrame:
     h = df.withColumn("_h", _hash(id_col, seed))
     ranked = ordered_running(h, ["_h", id_col], groups=groups, pos="_pos")
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per class: a bounded table
-    return ranked.join(F.broadcast(sizes), list(groups)) if groups else ranked.withColumn("_n", F.lit(df.count()))
+    if not groups:
+        return ranked.withColumn("_n", F.lit(ranked.count()))
+    # counted on the checkpointed rows, so the input is not computed again
+    sizes = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    return join_groups(ranked, sizes, list(groups))
 
 
 def split_random(df: DataFrame, id_col: str, test_share: float = 0.3, seed: int = 42,
@@ -148,7 +156,7 @@ def kfold_assign(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int =
 def class_weights(df: DataFrame, label: str, positive: int | None = None, multiplier: float = 1.0,
                   out: str = "weight") -> DataFrame:
     """Weight n / (k * n_c) ("balanced"), times `multiplier` for the positive
-    class. The per-class table has one row per class (bounded), so it is broadcast."""
+    class. Rows without a label are a class of their own."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     # the window runs over the per-class table (one row per class), not the data
     everything = Window.partitionBy()
@@ -156,7 +164,7 @@ def class_weights(df: DataFrame, label: str, positive: int | None = None, multip
     weight = F.col("_n") / (F.col("_k") * F.col("_nc"))
     if positive is not None:
         weight = F.when(F.col(label) == positive, weight * multiplier).otherwise(weight)
-    return df.join(F.broadcast(per.select(label, weight.alias(out))), label)
+    return join_groups(df, per.select(label, weight.alias(out)), [label])
 
 
 # ------------------------------------------------------------------ J8
@@ -168,7 +176,3 @@ def tokenize_truncate(df: DataFrame, id_col: str, text: str, max_len: int = 128,
     t = F.slice(tokens(text, TOKEN_PATTERN), 1, max_len)
     padded = F.concat(t, F.array_repeat(F.lit(pad), F.lit(max_len) - F.size(t)))
     return df.select(id_col, F.size(t).alias("n_tokens"), padded.alias(out))
-
-
-def ceil_share(n: int, share: float) -> int:
-    return int(math.ceil(n * share))

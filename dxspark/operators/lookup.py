@@ -6,7 +6,9 @@ here, so the choice is left to Spark, which broadcasts a side only when its
 `spark.sql.autoBroadcastJoinThreshold` and otherwise shuffles both sides,
 splitting skewed partitions (`spark.sql.adaptive.skewJoin.enabled`).
 Lookups first reduce the probe side to distinct codes, so a hot code costs one
-row in the lookup join.
+row in the lookup join. Where the result is joined back to all rows, its key is
+made anew (`rekeyed`): without that the aggregation's partitioning is reused,
+no exchange lies on that side, and AQE cannot split a hot (or null) key.
 """
 
 from __future__ import annotations
@@ -27,11 +29,18 @@ def first_row_per_key(df: DataFrame, key: str, cols: Sequence[str], ord_col: str
             .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols], F.col("_r._ord").alias(ord_col)))
 
 
+def rekeyed(df: DataFrame, key: str, out: str) -> DataFrame:
+    """`df` with the text column `key` as `out`, an expression over it, so that a
+    join on `out` exchanges both sides and AQE's skew rule applies."""
+    new = F.concat(F.col(key), F.lit("")).alias(out)
+    return df.select(new, *[c for c in df.columns if c != key])
+
+
 def lookup_first(df: DataFrame, code: str, dictionary: DataFrame, key: str,
                  values: Sequence[str], ord_col: str = "ord") -> DataFrame:
     """Exact lookup, first dictionary row in `ord` order wins."""
     first = first_row_per_key(dictionary, key, values, ord_col).drop(ord_col)
-    return df.join(first.withColumnRenamed(key, "_key"), F.col(code) == F.col("_key"), "left").drop("_key")
+    return df.join(rekeyed(first, key, "_key"), F.col(code) == F.col("_key"), "left").drop("_key")
 
 
 def variant_stems(key) -> Column:
@@ -86,8 +95,8 @@ def lookup_with_variants(df: DataFrame, code: str, dictionary: DataFrame, key: s
                          out: str, ord_col: str = "ord", guard: Column | None = None) -> DataFrame:
     """Attach `out` = value of the exact key or of the first variant; null on a miss."""
     hits = resolve_variants(df, code, variant_index(dictionary, key, value, ord_col, guard))
-    return (df.join(hits, F.col(code) == F.col("_code"), "left")
-            .drop("_code", "_pri").withColumnRenamed("_value", out))
+    return (df.join(rekeyed(hits, "_code", "_key"), F.col(code) == F.col("_key"), "left")
+            .drop("_key", "_pri").withColumnRenamed("_value", out))
 
 
 def not_found_codes(codes: DataFrame, code: str, found: DataFrame, found_key: str,
@@ -102,7 +111,7 @@ def membership_flag(df: DataFrame, code: str, members: DataFrame, member_key: st
                     flag: str = "is_member") -> DataFrame:
     """Boolean flag, is `code` among `members[member_key]`."""
     m = members.select(F.col(member_key).alias("_m")).where(F.col("_m").isNotNull()).distinct()
-    return (df.join(m, F.col(code) == F.col("_m"), "left")
+    return (df.join(rekeyed(m, "_m", "_m"), F.col(code) == F.col("_m"), "left")
             .withColumn(flag, F.col("_m").isNotNull()).drop("_m"))
 
 
@@ -160,7 +169,7 @@ def lookup_with_cache_default(codes: DataFrame, code: str, cache: DataFrame, cac
     pref = prefix_index(dictionary, key, text, ord_col).select(F.col("prefix").alias("_c"), F.col(text).alias("_any"))
     resolved = (distinct.join(c, "_c", "left").join(exact, "_c", "left").join(pref, "_c", "left")
                 .select("_c", F.coalesce("_cache", "_exact", "_any", F.lit(default)).alias(out)))
-    return codes.join(resolved, F.col(code) == F.col("_c"), "left").drop("_c")
+    return codes.join(rekeyed(resolved, "_c", "_key"), F.col(code) == F.col("_key"), "left").drop("_key")
 
 
 def edge_endpoint_join(edges: DataFrame, src: str, dst: str, nodes: DataFrame, node_key: str) -> DataFrame:

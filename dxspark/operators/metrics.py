@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dxspark.operators.ordering import ordered_running
+from dxspark.operators.ordering import join_groups, ordered_running
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -24,18 +24,18 @@ def _safe_div(a: Column, b: Column) -> Column:
 
 def binary_counts(scored: DataFrame, group: str, y: str = "y", pred: str = "pred") -> DataFrame:
     yy, pp = F.col(y) == 1, F.col(pred) == 1
-    s = lambda c: F.sum(c.cast("long"))
-    return scored.groupBy(group).agg(s(yy & pp).alias("tp"), s(~yy & pp).alias("fp"),
-                                     s(yy & ~pp).alias("fn"), s(~yy & ~pp).alias("tn"),
+    return scored.groupBy(group).agg(F.count_if(yy & pp).alias("tp"), F.count_if(~yy & pp).alias("fp"),
+                                     F.count_if(yy & ~pp).alias("fn"), F.count_if(~yy & ~pp).alias("tn"),
                                      F.count(F.lit(1)).alias("n"))
 
 
 def confusion_matrix(scored: DataFrame, group: str, y: str = "y", pred: str = "pred") -> DataFrame:
-    """K8: counts by (true, predicted) on the complete 2x2 grid (zero cells present)."""
-    cells = F.array(*[F.struct(F.lit(a).alias(y), F.lit(b).alias(pred)) for a in (0, 1) for b in (0, 1)])
-    grid = scored.select(group).distinct().select(group, F.inline(cells))
-    counts = scored.groupBy(group, y, pred).agg(F.count(F.lit(1)).alias("n"))
-    return grid.join(counts, [group, y, pred], "left").select(group, y, pred, F.coalesce("n", F.lit(0)).alias("n"))
+    """K8: counts by (true, predicted) on the complete 2x2 grid (zero cells
+    present), in one aggregation; a null group is a group."""
+    grid = [(a, b) for a in (0, 1) for b in (0, 1)]
+    counts = scored.groupBy(group).agg(*[F.count_if((F.col(y) == a) & (F.col(pred) == b)).alias(f"_{a}{b}") for a, b in grid])
+    cells = F.array(*[F.struct(F.lit(a).alias(y), F.lit(b).alias(pred), F.col(f"_{a}{b}").alias("n")) for a, b in grid])
+    return counts.select(group, F.inline(cells))
 
 
 def binary_metrics(scored: DataFrame, group: str, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -88,45 +88,50 @@ def _score_table(scored: DataFrame, group: str, y: str, score: str) -> DataFrame
 
 def roc_curve(scored: DataFrame, group: str, y: str = "y", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, descending, ties merged,
-    starting at (0, 0) with threshold +inf. No point is dropped."""
+    starting at (0, 0) with threshold +inf. No point is dropped. A rate over a
+    class that the group lacks is null."""
     t = _score_table(scored, group, y, score)
     run = ordered_running(t, [F.col(score).desc()], groups=[group], sums=["pos", "neg"], pos=None)
-    tot = t.groupBy(group).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    pts = run.join(tot, group).select(group, F.col(score).cast("double").alias("threshold"),
-                                      _safe_div(F.col("cum_neg"), F.col("_N")).alias("fpr"),
-                                      _safe_div(F.col("cum_pos"), F.col("_P")).alias("tpr"))
+    tot = run.groupBy(group).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    pts = join_groups(run, tot, [group]).select(
+        group, F.col(score).cast("double").alias("threshold"),
+        F.when(F.col("_N") > 0, F.col("cum_neg") / F.col("_N")).alias("fpr"),
+        F.when(F.col("_P") > 0, F.col("cum_pos") / F.col("_P")).alias("tpr"))
     start = tot.select(group, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
 
 
 def roc_auc(scored: DataFrame, group: str, y: str = "y", score: str = "score") -> DataFrame:
     """Exact tie-aware area: sum over scores of pos * (negatives below +
-    half the tied negatives), divided by P * N. Equals pair counting."""
+    half the tied negatives), divided by P * N. Equals pair counting. Null where
+    a group has one class only."""
     t = _score_table(scored, group, y, score)
     run = ordered_running(t, [F.col(score).asc()], groups=[group], sums=["neg"], pos=None)
     part = F.col("pos") * ((F.col("cum_neg") - F.col("neg")) + 0.5 * F.col("neg"))
     agg = run.groupBy(group).agg(F.sum(part).alias("_a"), F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    return agg.select(group, _safe_div(F.col("_a"), F.col("_P") * F.col("_N")).alias("auc"))
+    pairs = F.col("_P").cast("double") * F.col("_N")
+    return agg.select(group, F.when(pairs > 0, F.col("_a") / pairs).alias("auc"))
 
 
 def metric_table(scored: DataFrame, group: str, y: str = "y", pred: str = "pred",
                  score: str = "score") -> DataFrame:
     """Long (metric, model, value): K9 + K12 for every model."""
-    m = binary_metrics(scored, group, y, pred).join(roc_auc(scored, group, y, score), group)
+    m = join_groups(binary_metrics(scored, group, y, pred), roc_auc(scored, group, y, score), [group])
     return m.unpivot([group], ["accuracy", "precision", "recall", "f1", "auc"], "metric", "value") \
         .withColumnRenamed(group, "model")
 
 
 def compare_models(scored: DataFrame, group: str, models: Sequence[str], y: str = "y", pred: str = "pred",
                    score: str = "score", digits: int = 4) -> DataFrame:
-    """Metric x model table, half-even rounded, with the best model per metric
-    (ties to the first model in `models` order)."""
-    long = metric_table(scored, group, y, pred, score).withColumn("value", F.bround("value", digits))
-    wide = long.groupBy("metric").pivot("model", list(models)).agg(F.first("value"))
+    """Metric x model table, half-even rounded, with the best of `models` per
+    metric on unrounded values (ties to the first in `models` order; an
+    undefined value never wins over a number)."""
+    long = metric_table(scored, group, y, pred, score).where(F.col("model").isin(list(models)))
     order = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model"))
-    best = long.groupBy("metric").agg(
-        F.min_by("model", F.struct((-F.col("value")).alias("v"), order.alias("o"))).alias("best"))
-    return wide.join(best, "metric")
+    rank = F.struct(F.col("value").isNull().alias("u"), (-F.col("value")).alias("v"), order.alias("o"))
+    return long.groupBy("metric").agg(
+        *[F.bround(F.max(F.when(F.col("model") == m, F.col("value"))), digits).alias(m) for m in models],
+        F.min_by("model", rank).alias("best"))
 
 
 def subset_accuracy(scored: DataFrame, order: str, n: int, y: str = "y", pred: str = "pred") -> DataFrame:

@@ -15,6 +15,8 @@ pass partitioned by bucket.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,13 @@ def _sort_expr(o) -> Column:
     return F.col(o).asc_nulls_first() if isinstance(o, str) else o
 
 
+def join_groups(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on `keys`, null matching null; the keys stand once in the result."""
+    right = other.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    cond = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
+    return df.join(right, cond, how).drop(*[f"_g_{k}" for k in keys])
+
+
 def ordered_running(df: DataFrame, order: Sequence, groups: Sequence[str] = (),
                     sums: Sequence[str] = (), pos: str | None = "pos",
                     n_buckets: int | None = None, cum_prefix: str = "cum_") -> DataFrame:
@@ -51,7 +60,7 @@ def ordered_running(df: DataFrame, order: Sequence, groups: Sequence[str] = (),
     offsets = totals.select(
         _B, *groups, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n"),
         *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
-    out = ranged.join(offsets, [_B, *groups])
+    out = join_groups(ranged, offsets, [_B, *groups])
     local = Window.partitionBy(_B, *groups).orderBy(*order_exprs)
     if pos:
         out = out.withColumn(pos, (F.col("_o_n") + F.row_number().over(local)).cast("long"))
@@ -78,11 +87,6 @@ def _positions_only(df: DataFrame, range_exprs: list, groups: list, pos: str, n_
     totals = ranked.groupBy(_B, *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_L").alias("_l0"))
     before = Window.partitionBy(*groups).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(_B, *groups, "_l0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n"))
-    out = ranked.join(offsets, [_B, *groups])
+    out = join_groups(ranked, offsets, [_B, *groups])
     return out.withColumn(pos, (F.col("_o_n") + F.col("_L") - F.col("_l0") + 1).cast("long")) \
         .drop(_B, "_L", "_l0", "_o_n")
-
-
-def group_sizes(df: DataFrame, groups: Sequence[str], name: str = "n") -> DataFrame:
-    """Rows per group (partial + final aggregation)."""
-    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias(name))

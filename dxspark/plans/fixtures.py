@@ -45,14 +45,10 @@ SELECT l_orderkey AS visit_id, CAST(rn AS INT) AS pos,
             WHEN l_partkey % 19 = 0 THEN 'X' || CAST(l_partkey AS STRING)
             ELSE icd10 END AS code
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS rn FROM lineitem) t
-JOIN fx_crosswalk ON l_partkey = ord
-WHERE rn <= 20""",
+JOIN fx_crosswalk ON l_partkey = ord""",
     "fx_diag_wide": """
 SELECT v.visit_id, v.psq,
-       max(CASE WHEN pos = 1 THEN code END) AS diag_01, max(CASE WHEN pos = 2 THEN code END) AS diag_02,
-       max(CASE WHEN pos = 3 THEN code END) AS diag_03, max(CASE WHEN pos = 4 THEN code END) AS diag_04,
-       max(CASE WHEN pos = 5 THEN code END) AS diag_05, max(CASE WHEN pos = 6 THEN code END) AS diag_06,
-       max(CASE WHEN pos = 7 THEN code END) AS diag_07
+       """ + ",\n       ".join(f"max(CASE WHEN pos = {i} THEN code END) AS diag_{i:02d}" for i in range(1, 21)) + """
 FROM fx_visits v LEFT JOIN fx_diag_long d ON v.visit_id = d.visit_id
 GROUP BY v.visit_id, v.psq""",
     "fx_pairs": """
@@ -62,6 +58,8 @@ FROM fx_diag_long d JOIN fx_visits v ON d.visit_id = v.visit_id
 WHERE d.code IS NOT NULL AND trim(d.code) <> '' AND v.psq IS NOT NULL""",
     "fx_text": """
 SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+    "fx_all_text": """
+SELECT doc_id, text FROM documents""",
     "fx_scored": """
 SELECT l.doc_id AS row_id, d.lang AS grp, l.quality AS y,
        CAST((d.n_chars * 7 + l.quality * 30) % 101 AS DOUBLE) / 100 AS score
@@ -79,7 +77,7 @@ SELECT p_partkey AS run_id, p_brand AS model,
 FROM part""",
     "fx_areas": """
 SELECT p_partkey AS ord, '0' || CAST(1000 + p_partkey AS STRING) AS cod_postal, 'AREA_' || CAST(p_partkey AS STRING) AS name
-FROM part WHERE p_partkey < 110""",
+FROM part""",
     "fx_cache": """
 SELECT icd10 AS code, 'cached ' || min(p_brand) AS text
 FROM fx_crosswalk JOIN part ON ord = p_partkey WHERE ord % 5 = 0 GROUP BY icd10""",

@@ -9,7 +9,7 @@ from dxspark.operators import agg
 from dxspark.plans.fixtures import fx
 from dxspark.plans.registry import query
 
-DIAG_COLS = [f"diag_{i:02d}" for i in range(1, 8)]
+DIAG_COLS = [f"diag_{i:02d}" for i in range(1, 21)]
 DIAG_COLS_SQL = ", ".join(DIAG_COLS)
 # first dictionary row per icd10 (DuckDB's arg_min skips null values, so rank instead)
 FIRST_BY_ICD10 = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY icd10 ORDER BY ord) AS rn_
@@ -50,13 +50,12 @@ SELECT code, cod_postal, count(*) AS frecuencia
 FROM (SELECT regexp_replace(code, '^\s+|\s+$', '', 'g') AS code, cod_postal
       FROM (SELECT unnest(list_transform(string_split(psq, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS code,
                    CASE WHEN length(cod_postal) < 5 THEN lpad(cod_postal, 5, '0') ELSE cod_postal END AS cod_postal
-            FROM fx_visits WHERE upper(provincia) = 'NATION_7') s) t
+            FROM fx_visits) s) t
 WHERE code IS NOT NULL AND cod_postal IS NOT NULL
 GROUP BY 1, 2""")
 def q_count_per_value_by_area(spark, sf):
-    # the exploded rows of one province, counted per (code, postal code).
     from dxspark.functions.scalars import split_codes_comma
-    v = fx(spark, sf, "fx_visits").where(upper_text("provincia") == "NATION_7")
+    v = fx(spark, sf, "fx_visits")
     rows = v.select(F.explode(split_codes_comma("psq")).alias("code"),
                     pad_postal("cod_postal").alias("cod_postal"))
     return agg.count_per_value_by_area(rows, "code", "cod_postal")

@@ -47,7 +47,7 @@ def _standardise_sql() -> str:
     cols = ", ".join(f"CASE WHEN {is9} THEN (CASE WHEN w.{c} IS NULL THEN NULL ELSE c{i}.new END) ELSE w.{c} END AS {c}"
                      for i, c in enumerate(DIAG_COLS, 1))
     joins = " ".join(f"LEFT JOIN conv c{i} ON w.{c} = c{i}.code" for i, c in enumerate(DIAG_COLS, 1))
-    return f"WITH conv AS {conv}\nSELECT w.visit_id, w.psq, {cols} FROM fx_diag_wide w {joins}"
+    return f"WITH conv AS MATERIALIZED {conv}\nSELECT w.visit_id, w.psq, {cols} FROM fx_diag_wide w {joins}"
 
 
 @query("standardise_row_codes", _standardise_sql())

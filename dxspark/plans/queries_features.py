@@ -14,33 +14,36 @@ STOP_SQL = ", ".join(f"'{w}'" for w in J.STOP_WORDS)
 
 
 @query("label_encode", "SELECT visit_id, col AS \"column\", dense_rank() OVER (PARTITION BY col ORDER BY v) - 1 AS idx FROM ("
-       + " UNION ALL ".join(f"SELECT visit_id, '{c}' AS col, coalesce({c}, '') AS v FROM fx_diag_wide" for c in DIAG_COLS)
-       + ") t")
+       + f"SELECT visit_id, unnest([{', '.join(repr(c) for c in DIAG_COLS)}]) AS col, "
+       + f"unnest([{', '.join(f'''coalesce({c}, '')''' for c in DIAG_COLS)}]) AS v FROM fx_diag_wide) t")
 def q_label_encode(spark, sf):
     return J.label_encode_long(fx(spark, sf, "fx_diag_wide"), ["visit_id"], DIAG_COLS)
 
 
-@query("one_hot", """
-SELECT * FROM (PIVOT (SELECT visit_id, coalesce(upper(provincia), 'NONE') AS p FROM fx_visits)
-               ON p USING count(*) GROUP BY visit_id)""")
+PROVINCES = [*(f"NATION_{i}" for i in range(25)), "DESCONOCIDO", "NONE"]
+
+
+@query("one_hot", f"""
+SELECT visit_id, {', '.join(f"CAST(coalesce(upper(provincia), 'NONE') = '{p}' AS BIGINT) AS {p}" for p in PROVINCES)}
+FROM fx_visits""")
 def q_one_hot(spark, sf):
     v = fx(spark, sf, "fx_visits")
-    return J.one_hot(v, ["visit_id"], F.coalesce(upper_text("provincia"), F.lit("NONE")))
+    return J.one_hot(v, ["visit_id"], F.coalesce(upper_text("provincia"), F.lit("NONE")), PROVINCES)
 
 
 def _tfidf_sql(max_features: int) -> str:
     return rf"""
-WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM fx_text),
+WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM fx_all_text),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term NOT IN ({STOP_SQL}) GROUP BY 1, 2),
 voc AS (SELECT term, count(*) AS df FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {max_features}),
-n AS (SELECT count(*) AS n FROM fx_text),
+n AS (SELECT count(*) AS n FROM fx_all_text),
 w AS (SELECT tf.doc_id, tf.term, tf.tf * (ln((1.0 + n.n) / (1.0 + voc.df)) + 1.0) AS w FROM tf JOIN voc ON tf.term = voc.term, n)
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""
 
 
 @query("tfidf", _tfidf_sql(500))
 def q_tfidf(spark, sf):
-    out = J.tfidf(fx(spark, sf, "fx_text"), "doc_id", "text", max_features=500)
+    out = J.tfidf(fx(spark, sf, "fx_all_text"), "doc_id", "text", max_features=500)
     return out.withColumn("weight", F.round("weight", 6))
 
 
@@ -79,7 +82,7 @@ def q_class_weights(spark, sf):
 @query("tokenize_truncate", r"""
 SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens,
        array_to_string(list_concat(t, list_transform(range(128 - len(t)), lambda i: '[PAD]')), ' ') AS tokens
-FROM (SELECT doc_id, list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1, 128) AS t FROM fx_text) s""")
+FROM (SELECT doc_id, list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1, 128) AS t FROM fx_all_text) s""")
 def q_tokenize_truncate(spark, sf):
-    out = J.tokenize_truncate(fx(spark, sf, "fx_text"), "doc_id", "text", 128)
+    out = J.tokenize_truncate(fx(spark, sf, "fx_all_text"), "doc_id", "text", 128)
     return out.select("doc_id", "n_tokens", F.array_join("tokens", " ").alias("tokens"))

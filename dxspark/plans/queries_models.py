@@ -7,6 +7,8 @@ schema, row counts)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from dxspark.operators import features as J
@@ -87,15 +89,16 @@ WITH c AS (SELECT grp, score,
                   sum(pos) OVER (PARTITION BY grp ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cp,
                   sum(neg) OVER (PARTITION BY grp ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn,
                   sum(pos) OVER (PARTITION BY grp) AS p, sum(neg) OVER (PARTITION BY grp) AS n FROM {SCORE_TABLE} s)
-SELECT grp, score AS threshold, round({sdiv('cn', 'n')}, 6) AS fpr, round({sdiv('cp', 'p')}, 6) AS tpr FROM c
+SELECT grp, score AS threshold, round(cn / nullif(n, 0), 6) AS fpr, round(cp / nullif(p, 0), 6) AS tpr FROM c
 UNION ALL SELECT DISTINCT grp, 'inf'::DOUBLE, 0.0, 0.0 FROM fx_scored""")
 def q_roc_curve(spark, sf):
     return r6(K.roc_curve(fx(spark, sf, "fx_scored"), "grp"), ["fpr", "tpr"])
 
 
-AUC_SQL = f"""SELECT grp, round({sdiv('sum(pos * (below + 0.5 * neg))', 'sum(pos) * sum(neg)')}, 6) AS auc
+AUC_RAW_SQL = f"""SELECT grp, sum(pos * (below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0) AS auc
 FROM (SELECT *, sum(neg) OVER (PARTITION BY grp ORDER BY score ROWS UNBOUNDED PRECEDING) - neg AS below
       FROM {SCORE_TABLE} s) c GROUP BY grp"""
+AUC_SQL = f"SELECT grp, round(auc, 6) AS auc FROM ({AUC_RAW_SQL}) a"
 
 
 @query("roc_auc", AUC_SQL)
@@ -104,30 +107,22 @@ def q_roc_auc(spark, sf):
 
 
 def _compare_sql() -> str:
-    long = f"""(SELECT grp AS model, metric, round_even(value, 4) AS value FROM (
-      SELECT grp, 'accuracy' AS metric, accuracy AS value FROM ({METRICS_SQL}) m
-      UNION ALL SELECT grp, 'precision', precision FROM ({METRICS_SQL}) m
-      UNION ALL SELECT grp, 'recall', recall FROM ({METRICS_SQL}) m
-      UNION ALL SELECT grp, 'f1', f1 FROM ({METRICS_SQL}) m
-      UNION ALL SELECT grp, 'auc', auc FROM ({AUC_SQL}) a) u)"""
-    cols = ", ".join(f"max(CASE WHEN model = '{m}' THEN value END) AS {m}" for m in LANGS)
+    raw = re.sub(r"round\((.*?), 6\) AS", r"\1 AS", METRICS_SQL)
+    long = f"""(SELECT grp AS model, metric, value FROM (
+      SELECT grp, 'accuracy' AS metric, accuracy AS value FROM ({raw}) m
+      UNION ALL SELECT grp, 'precision', precision FROM ({raw}) m
+      UNION ALL SELECT grp, 'recall', recall FROM ({raw}) m
+      UNION ALL SELECT grp, 'f1', f1 FROM ({raw}) m
+      UNION ALL SELECT grp, 'auc', auc FROM ({AUC_RAW_SQL}) a) u WHERE grp IN ({', '.join(repr(m) for m in LANGS)}))"""
+    cols = ", ".join(f"round_even(max(CASE WHEN model = '{m}' THEN value END), 4) AS {m}" for m in LANGS)
     return f"""WITH l AS {long},
-b AS (SELECT metric, model AS best FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, model) AS r FROM l) x WHERE r = 1)
+b AS (SELECT metric, model AS best FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC NULLS LAST, model) AS r FROM l) x WHERE r = 1)
 SELECT l.metric, {cols}, b.best FROM l JOIN b ON l.metric = b.metric GROUP BY l.metric, b.best"""
 
 
 @query("compare_models", _compare_sql())
 def q_compare_models(spark, sf):
-    # metrics rounded to 6 first, as in the table the oracle rounds from
-    s = _scored(spark, sf)
-    m = r6(K.binary_metrics(s, "grp"), ["accuracy", "precision", "recall", "f1"]) \
-        .join(r6(K.roc_auc(s, "grp"), ["auc"]), "grp")
-    long = m.unpivot(["grp"], ["accuracy", "precision", "recall", "f1", "auc"], "metric", "value") \
-        .withColumnRenamed("grp", "model").withColumn("value", F.bround("value", 4))
-    wide = long.groupBy("metric").pivot("model", LANGS).agg(F.first("value"))
-    best = long.groupBy("metric").agg(
-        F.min_by("model", F.struct((-F.col("value")).alias("v"), F.col("model").alias("m"))).alias("best"))
-    return wide.join(best, "metric")
+    return K.compare_models(_scored(spark, sf), "grp", LANGS)
 
 
 @query("subset_accuracy", f"""

@@ -10,8 +10,8 @@ from dxspark.operators.lookup import lookup_first
 from dxspark.plans.fixtures import fx
 from dxspark.plans.queries_agg import DIAG_COLS, DIAG_COLS_SQL, FIRST_BY_ICD10
 from dxspark.plans.registry import query
+from dxspark.plans.sql_snippets import STRIP
 
-STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 LANGS = ["de", "en", "es", "fr"]
 
 

@@ -9,8 +9,8 @@ from dxspark.operators.lookup import membership_flag
 from dxspark.operators.reshape import filter_letter_codes
 from dxspark.plans.fixtures import fx
 from dxspark.plans.registry import query
+from dxspark.plans.sql_snippets import STRIP
 
-STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
 def insert_dot_sql(x: str) -> str:

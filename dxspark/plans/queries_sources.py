@@ -9,10 +9,10 @@ from dxspark.functions.scalars import pad_postal, split_codes_comma, upper_text
 from dxspark.operators.lookup import not_found_codes
 from dxspark.plans.fixtures import fx
 from dxspark.plans.registry import query
+from dxspark.plans.sql_snippets import STRIP
 from dxspark.session import scratch_path
 from dxspark.sources import io
 
-STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 CROSSWALK_SCHEMA = "ord bigint, icd9 string, icd10 string, description string"
 
 
@@ -112,16 +112,16 @@ def q_read_param_table(spark, sf):
 @query("read_geo_features", "SELECT cod_postal, name FROM fx_areas")
 def q_read_geo_features(spark, sf):
     a = fx(spark, sf, "fx_areas")
-    # fx_areas is bounded (keys below 110), so the FeatureCollection is one small document.
+    # a file with one FeatureCollection for each thousand areas
     feature = F.struct(F.lit("Feature").alias("type"),
                        F.struct(F.col("cod_postal").alias("COD_POSTAL"), F.col("name")).alias("properties"),
                        F.struct(F.lit("Point").alias("type"),
                                 F.array(F.col("ord").cast("double"), F.col("ord").cast("double")).alias("coordinates"))
                        .alias("geometry"))
-    fc = a.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"),
-                                  F.collect_list(feature).alias("features"))).alias("value"))
+    fc = a.groupBy(F.floor(F.col("ord") / 1000).alias("doc")).agg(
+        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
     path = scratch_path(spark, "geo")
-    fc.write.text(path)
+    fc.write.partitionBy("doc").text(path)
     g = io.read_geo_features(spark, path)
     return g.select("cod_postal", F.col("properties.name").alias("name"))
 

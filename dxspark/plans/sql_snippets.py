@@ -8,7 +8,9 @@ key wins. This is deliberately independent of the Spark stem index.
 
 from __future__ import annotations
 
-STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+from dxspark.functions.scalars import STRIP_CHARS
+
+STRIP = "trim({0}, '" + STRIP_CHARS + "')"
 
 
 def first_rows(key: str, table: str = "fx_crosswalk") -> str:

@@ -9,22 +9,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructType
 
 from dxspark.functions.scalars import col, strip_text
 
 
-def string_schema(names: Sequence[str]) -> StructType:
-    return StructType([StructField(n, StringType(), True) for n in names])
-
-
 def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep: str = "|",
-                   header: bool = False, usecols: Sequence[str] | None = None) -> DataFrame:
-    """A1: CSV scan with a fixed schema; an empty field is null."""
-    df = (spark.read.schema(schema).option("sep", sep).option("header", header)
+                   header: bool = False, usecols: Sequence[str] | None = None, null_mark: str = "",
+                   multi_line: bool = False) -> DataFrame:
+    """A1: CSV scan with a fixed schema; quotes inside quotes are doubled.
+
+    By default an empty field is null. With the `null_mark` that it was written
+    with, only that text is null and empty text stays empty. `multi_line` reads
+    values with line breaks; a file is then read by one task."""
+    df = (spark.read.schema(schema).option("sep", sep).option("header", header).option("escape", '"')
+          .option("nullValue", null_mark).option("emptyValue", "").option("multiLine", multi_line)
           .option("mode", "PERMISSIVE").csv(path))
+    if not null_mark:  # quoted empty fields too
+        df = df.select(*[F.nullif(F.col(f.name), F.lit("")).alias(f.name) if f.dataType == StringType() else F.col(f.name)
+                         for f in df.schema.fields])
     return df.select(*usecols) if usecols else df
 
 
@@ -39,13 +45,15 @@ def read_ragged(spark: SparkSession, path: str, names: Sequence[str], sep: str =
     truncate: extra fields are dropped, missing ones are null.
     skip: lines with *more* fields than `names` are dropped; short lines are
     padded with null (pandas `on_bad_lines='skip'`). The split is naive (no
-    quoting), like the reference's line audit.
+    quoting), like the reference's line audit. `header` drops the first line of
+    each file (and blank lines): the lines are read as a CSV of one column, with
+    a separator, U+0001, that text does not hold.
     """
-    lines = spark.read.text(path)
     if header:
-        first = lines.limit(1).collect()  # one line to the driver
-        if first:
-            lines = lines.where(F.col("value") != first[0]["value"])
+        lines = (spark.read.schema("value string").option("sep", "\x01").option("quote", "").option("header", True)
+                 .option("enforceSchema", True).csv(path))
+    else:
+        lines = spark.read.text(path)
     fields = F.split(F.col("value"), _java_quote(sep), -1)
     df = lines.select(fields.alias("_f"))
     if mode == "skip":
@@ -77,26 +85,24 @@ def audit_ragged_lines(df: DataFrame, id_col: str, text: str, sep: str = ",") ->
         id_col, (F.col("_i") + 1).alias("line_no"), n.alias("n_fields"), stripped.alias("line"))
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = "|", header: bool = True) -> str:
-    """A4: CSV without index; values written as they are (no blank trimming)."""
+def write_delimited(df: DataFrame, path: str, sep: str = "|", header: bool = True, null_mark: str = "") -> str:
+    """A4: CSV without index; values written as they are (no blank trimming).
+    Null and empty text are both an empty field unless nulls get a mark."""
     (df.write.mode("errorifexists").option("sep", sep).option("header", header).option("quoteAll", True)
+     .option("escape", '"').option("nullValue", null_mark).option("emptyValue", "")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
     return path
 
 
-def write_partitioned_by_value(df: DataFrame, path: str, key: str, sep: str = "|",
-                               files_per_key: int = 8) -> str:
+def write_partitioned_by_value(df: DataFrame, path: str, key: str, sep: str = "|") -> str:
     """A5: one folder per key value in a single pass; null keys are skipped.
 
-    Rows are first shuffled on (key, hash(row) mod files_per_key): each folder
-    gets at most `files_per_key` files instead of one per input task, and a
-    key holding a third of the rows is still written by several tasks. The
-    salt is a hash of the row, so a retried task writes the same rows."""
+    Rows are rebalanced on the key: small keys share a task, and AQE splits a
+    key above the advisory size over as many tasks as its bytes ask for."""
     kept = df.where(F.col(key).isNotNull())
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in kept.columns]), F.lit(files_per_key))
-    (kept.repartition(F.col(key), salt).write.mode("errorifexists").partitionBy(key)
-     .option("sep", sep).option("header", True).option("quoteAll", True)
+    (kept.hint("rebalance", key).write.mode("errorifexists").partitionBy(key)
+     .option("sep", sep).option("header", True).option("quoteAll", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
     return path
@@ -104,7 +110,7 @@ def write_partitioned_by_value(df: DataFrame, path: str, key: str, sep: str = "|
 
 def read_partitioned(spark: SparkSession, path: str, schema: StructType, sep: str = "|") -> DataFrame:
     """Read back an A5 folder; the key comes from the path (typed by `schema`)."""
-    return spark.read.schema(schema).option("sep", sep).option("header", True).csv(path)
+    return spark.read.schema(schema).option("sep", sep).option("header", True).option("escape", '"').csv(path)
 
 
 def json_map_entries(df: DataFrame, json_col: str, keep: Sequence[str] = (),
@@ -116,10 +122,12 @@ def json_map_entries(df: DataFrame, json_col: str, keep: Sequence[str] = (),
 
 def read_json_map(spark: SparkSession, path: str, key: str = "code", value: str = "text") -> DataFrame:
     """A6 file form: a JSON object file code -> text as a lookup table; a missing
-    folder gives an empty table."""
+    path gives an empty table, as in the reference; other errors are raised."""
     try:
         raw = spark.read.text(path, wholetext=True)
-    except Exception:  # missing path -> empty table, as in the reference
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], f"{key} string, {value} string")
     return json_map_entries(raw, "value", key=key, value=value)
 
