@@ -85,11 +85,12 @@ def test_roc_is_monotone_and_ends_at_one(spark):
     pdf = K.roc_curve(s, "grp").toPandas().sort_values(["grp", "threshold"], ascending=[True, False])
     classes = s.groupBy("grp").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).toPandas().set_index("grp")
     for g, part in pdf.groupby("grp"):
-        assert part.fpr.is_monotonic_increasing and part.tpr.is_monotonic_increasing
-        assert part.fpr.iloc[0] == 0 and part.tpr.iloc[0] == 0
-        # a rate whose class is absent stays 0 (zero division gives 0)
-        assert math.isclose(part.fpr.iloc[-1], 1.0 if classes.loc[g, "n"] else 0.0)
-        assert math.isclose(part.tpr.iloc[-1], 1.0 if classes.loc[g, "p"] else 0.0)
+        for rate, size in ((part.fpr, classes.loc[g, "n"]), (part.tpr, classes.loc[g, "p"])):
+            assert rate.iloc[0] == 0
+            if size:
+                assert rate.is_monotonic_increasing and math.isclose(rate.iloc[-1], 1.0)
+            else:  # a rate over an absent class is undefined
+                assert rate.iloc[1:].isna().all()
 
 
 def test_metric_identities(spark):
