@@ -10,7 +10,9 @@ text stands for itself, for its beginnings of `STEMS` letters and for its plain
 form (look-alike digits and signs as letters); for each such form the toxic and
 clean documents are counted in one grouped aggregation over all training rows,
 and the `MAX_TERMS` with the largest log-odds above `MIN_ODDS` kept. That small
-table is the only thing broadcast; its size is bounded by `MAX_TERMS`. A form's
+table is broadcast; its size is bounded by `MAX_TERMS`. The labels of the training
+rows are broadcast to the texts while they measure under `LABEL_BYTES`; beyond
+that both sides are shuffled, with the same rows. A form's
 counts would betray a training row's own label, so each row is scored with
 lexicons learned from other rows: training rows fall in `FOLDS` folds, and the
 features of a fold use the counts of the rest.
@@ -50,6 +52,8 @@ MAX_TERMS = 3000
 MIN_DOCS = 5
 MIN_ODDS = 2.5
 MAX_FIT = 60_000
+#: the labels of the training rows are broadcast up to so many bytes, and shuffled with the texts beyond
+LABEL_BYTES = 32 << 20
 #: a few words of abuse, so that a corpus with few labels is not without any
 FIXED = {"idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown", "dumb", "hate"}
 YOU = {"you", "your", "you're", "youre", "yours", "u", "ur", "du", "dich", "dein", "deine", "tu", "toi", "vous", "ton", "votre", "te", "ti", "usted", "eres"}
@@ -182,7 +186,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     held = F.crc32(name) % 5 == 0
     known = labels.where(F.col(label_col).isin(0, 1) & (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 != 0))
-    known = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
+    known = stored(known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("label")), "toxic_labels")
+    known_bytes = known.agg(F.sum(F.octet_length(F.col(id_col).cast("string")) + 32)).first()[0] or 0
+    if known_bytes <= LABEL_BYTES:
+        known = F.broadcast(known)
     pick = F.pmod(F.xxhash64(F.lit(3), name), F.lit(1 << 30))
     train = stored(docs.where(~held).join(known, id_col).select(text, "label", F.pmod(F.xxhash64(F.lit(1), name), F.lit(FOLDS)).cast("int").alias("fold"),
                                                                (F.pmod(F.xxhash64(F.lit(2), name), F.lit(3)) == 0).alias("calibrate"), pick.alias("pick")), "toxic")
