@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ MAX_TERMS = 3000
 MIN_DOCS = 5
 MIN_ODDS = 2.5
 MAX_FIT = 60_000
+#: forms a task counts before it hands them on
+KEEP_FORMS = 400_000
 #: the labels of the training rows are broadcast up to so many bytes, and shuffled with the texts beyond
 LABEL_BYTES = 32 << 20
 #: a few words of abuse, so that a corpus with few labels is not without any
@@ -83,27 +86,35 @@ class Lexicon:
     KEEP = 200_000
 
     def __init__(self, odds: dict[str, float]):
-        self.odds, self.seen = odds, {}
+        def book(kind: str) -> dict[str, float]:
+            return {f[len(kind):]: x for f, x in odds.items() if f.startswith(kind)}
 
-    def add(self, w: str) -> tuple | None:
+        self.words, self.plains, self.stems = book("w:"), book("p:"), [(m, book(f"s{m}:")) for m in STEMS]
+        self.seen: dict[str, tuple | None] = {}
+
+    def weigh(self, w: str) -> tuple | None:
         """(odds of word, stem, plain form; largest; obfuscated, fixed, you), or
         None for a word that adds nothing."""
-        if len(self.seen) > self.KEEP:
-            self.seen.clear()
         p = w if w.isalpha() else plain(w)
-        odds = self.odds
-        x = (odds.get("w:" + w, 0.0), max([odds.get(f"s{m}:{p[:m]}", 0.0) for m in STEMS if len(p) > m], default=0.0), odds.get("p:" + p, 0.0))
-        top, rest = max(x), (p != w, p in FIXED, w in YOU)
-        self.seen[w] = found = (*x, top, *rest) if top > 0 or any(rest) else None
-        return found
+        of_word, of_plain, of_stem = self.words.get(w, 0.0), self.plains.get(p, 0.0), 0.0
+        for m, book in self.stems:
+            if len(p) > m:
+                of_stem = max(of_stem, book.get(p[:m], 0.0))
+        top, rest = max(of_word, of_stem, of_plain), (p != w, p in FIXED, w in YOU)
+        return (of_word, of_stem, of_plain, top, *rest) if top > 0 or any(rest) else None
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
         low = _WORD.findall(text.lower())
         if not low:
             return [0.0] * len(FEATURES)
-        n, seen = len(low), self.seen
-        found = [(k, x) for k, w in enumerate(low) if (x := seen[w] if w in seen else self.add(w)) is not None]
+        n, bag, seen = len(low), set(low), self.seen
+        if len(seen) > self.KEEP:
+            seen.clear()
+        for w in bag.difference(seen):
+            seen[w] = self.weigh(w)
+        hits = {w: x for w in bag if (x := seen[w]) is not None}
+        found = [(k, hits[w]) for k, w in enumerate(low) if w in hits] if hits else []
         terms = [(k, x) for k, x in found if x[3] > 0]
         you = [k for k, x in found if x[6]]
         near = 0.0
@@ -119,31 +130,48 @@ class Lexicon:
         return [total(0) / n, total(1) / n, total(2) / n, float(len(terms)), len(terms) / n, sum(x[3] >= 4 for _, x in terms) / n,
                 sum(x[5] for _, x in found) / n, len(you) / n, near, (len(raw) - len(raw.translate(None, _CAPITALS))) / letters, len(_SHOUT.findall(text)) / n,
                 sum(map(text.count, ".,;:!?")) / n, (text.count("!") + text.count("?")) / n, sum(x[4] for _, x in found) / n,
-                float(sum(x[4] for _, x in terms)), math.log1p(n), letters / n, 1 - len(set(low)) / n, best[0] if best else 0.0, sum(best)]
+                float(sum(x[4] for _, x in terms)), math.log1p(n), letters / n, 1 - len(bag) / n, best[0] if best else 0.0, sum(best)]
 
 
 def counted_forms(labelled: DataFrame) -> DataFrame:
-    """(form, fold, toxic, clean): labelled documents of a fold that have a form."""
+    """(form, and for each fold k toxic<k> and clean<k>): labelled documents of
+    a fold that have a form. Counted by number inside a task, and handed on
+    when a task has `KEEP_FORMS` of them."""
+    columns = [f"{c}{k}" for k in range(FOLDS) for c in ("clean", "toxic")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[tuple[str, int], list[int]] = {}  # pre-aggregated, handed on when it is large
+        number: dict[str, int] = {}  # of each form
+        numbers: dict[str, list[int]] = {}  # of each word's forms
+        counts = np.zeros((len(columns), 0), np.int64)
+        had = [array("i") for _ in columns]  # numbers not yet in counts, by fold and label
+
+        def tallied() -> np.ndarray:
+            total = np.pad(counts, ((0, 0), (0, len(number) - counts.shape[1])))
+            for row, some in zip(total, had):
+                row += np.bincount(np.array(some, np.intc), minlength=len(number))
+            return total
 
         def counted() -> pa.RecordBatch:
-            keys, vals = list(count), list(count.values())
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-                                               pa.array([v[0] for v in vals], pa.int64()), pa.array([v[1] for v in vals], pa.int64())],
-                                              ["form", "fold", "toxic", "clean"])
+            return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), *map(pa.array, tallied())], ["form", *columns])
+
         for b in batches:
             for t, fold, y in zip(*b.columns, strict=True):
-                fold, y = fold.as_py(), y.as_py()
-                for f in set().union(*map(forms, set(_WORD.findall((t.as_py() or "").lower())))):
-                    count.setdefault((f, fold), [0, 0])[1 - y] += 1
-                if len(count) > 400_000:
+                found: set[int] = set()
+                for w in set(_WORD.findall((t.as_py() or "").lower())):
+                    if w not in numbers:
+                        numbers[w] = [number.setdefault(f, len(number)) for f in forms(w)]
+                    found.update(numbers[w])
+                had[2 * fold.as_py() + y.as_py()].extend(found)
+                if len(number) > KEEP_FORMS:
                     yield counted()
-                    count.clear()
+                    number.clear(), numbers.clear()
+                    counts, had = counts[:, :0], [array("i") for _ in columns]
+                elif sum(map(len, had)) > 4 * KEEP_FORMS:
+                    counts, had = tallied(), [array("i") for _ in columns]
         yield counted()
 
-    rows = labelled.select("text", "fold", "label").mapInArrow(run, "form string, fold int, toxic bigint, clean bigint")
-    return rows.groupBy("form").agg(*[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in ("toxic", "clean")])
+    rows = labelled.select("text", "fold", "label").mapInArrow(run, "form string, " + ", ".join(f"{c} bigint" for c in columns))
+    return rows.groupBy("form").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def lexicons(labelled: DataFrame) -> list[dict[str, float]]:
