@@ -3,8 +3,9 @@
 Vocabulary-sized tables (label vocabularies, the TF-IDF vocabulary) are the
 only things joined to the data; the TF-IDF vocabulary is capped by
 `max_features`, which is its proven size bound, so it is broadcast.
-Splits and folds are exact: rows are ordered by md5(seed|id) and cut at
-ceil(n * share) per class, with positions from range buckets (no
+Splits and folds are exact: rows are ordered by md5(seed|id). A split is cut at
+ceil(n * share) per class: counts per hash beginning find the cut, and each row
+is compared with it where it is. Folds take positions from range buckets (no
 single-partition window).
 """
 
@@ -120,37 +121,67 @@ def _hash(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
 
 
-def _positions(df: DataFrame, id_col: str, seed: int, groups: Sequence[str] = ()) -> DataFrame:
-    h = df.withColumn("_h", _hash(id_col, seed))
-    ranked = ordered_running(h, ["_h", id_col], groups=groups, pos="_pos")
-    if not groups:
-        return ranked.withColumn("_n", F.lit(ranked.count()))
-    # counted on the checkpointed rows, so the input is not computed again
-    sizes = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    return join_groups(ranked, sizes, list(groups))
+#: hexadecimal digits of the hash that are counted to find a cut
+CUT_DIGITS = 4
+#: classes up to which the cuts are broadcast
+CUT_CLASSES = 10_000
+
+
+def _cuts(keyed: DataFrame, classes: Sequence[str], share: float) -> DataFrame:
+    """(classes, _cut): the hash of the last test row of each class that has one.
+
+    Counts per class and hash beginning (at most 16^CUT_DIGITS rows a class) say
+    in which beginning the cut lies; only its rows, one in 16^CUT_DIGITS, are ranked."""
+    counts = keyed.groupBy(*classes, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*classes)
+    runs = counts.select(*classes, "_p", "_n", F.sum("_n").over(whole.orderBy("_p")).alias("_upto"),
+                         F.least(F.ceil(F.sum("_n").over(whole) * share), F.sum("_n").over(whole)).alias("_want"))
+    at = runs.where((F.col("_want") > 0) & (F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
+    at = _few(at.select(*classes, "_p", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_rank")))
+    ranked = join_groups(keyed, at, [*classes, "_p"]).withColumn("_k", F.row_number().over(whole.orderBy("_h")))
+    return _few(ranked.where(F.col("_k") == F.col("_rank")).select(*classes, F.col("_h").alias("_cut")))
+
+
+def _few(per_class: DataFrame) -> DataFrame:
+    """A table of at most one row a class, computed; broadcast if it has at most
+    CUT_CLASSES rows, else checkpointed and joined as any other."""
+    rows = per_class.limit(CUT_CLASSES + 1).collect()
+    if len(rows) > CUT_CLASSES:
+        return per_class.checkpoint()
+    return F.broadcast(per_class.sparkSession.createDataFrame(rows, per_class.schema))
+
+
+def _split(df: DataFrame, id_col: str, classes: Sequence[str], share: float, seed: int, out: str) -> DataFrame:
+    h = F.coalesce(_hash(id_col, seed), F.lit(""))
+    cuts = _cuts(df.select(*classes, h.alias("_h"), F.substring(h, 1, CUT_DIGITS).alias("_p")), classes, share)
+    if classes:
+        joined = join_groups(df, cuts, classes, "left")
+    else:  # one value or none
+        one = cuts.first()
+        joined = df.withColumn("_cut", F.lit(one["_cut"] if one else None).cast("string"))
+    return joined.withColumn(out, F.when(h <= F.col("_cut"), "test").otherwise("train")).drop("_cut")
 
 
 def split_random(df: DataFrame, id_col: str, test_share: float = 0.3, seed: int = 42,
                  out: str = "split") -> DataFrame:
-    """Exact split, the first ceil(n * share) rows in md5(seed|id) order are test."""
-    p = _positions(df, id_col, seed)
-    return p.withColumn(out, F.when(F.col("_pos") <= F.ceil(F.col("_n") * test_share), "test").otherwise("train")) \
-        .drop("_h", "_pos", "_n")
+    """Exact split, the first ceil(n * share) rows in md5(seed|id) order are
+    test. Rows with the same id stay together, on the side of the first of them;
+    a null id comes first. The rows are not shuffled: they are compared with the cut."""
+    return _split(df, id_col, [], test_share, seed, out)
 
 
 def split_stratified(df: DataFrame, id_col: str, label: str, test_share: float = 0.3, seed: int = 42,
                      out: str = "split") -> DataFrame:
-    """Exact class shares: per class the first ceil(n_c * share) rows are test."""
-    p = _positions(df, id_col, seed, [label])
-    return p.withColumn(out, F.when(F.col("_pos") <= F.ceil(F.col("_n") * test_share), "test").otherwise("train")) \
-        .drop("_h", "_pos", "_n")
+    """Exact class shares: per class the first ceil(n_c * share) rows are
+    test (as in `split_random`; a null label is a class)."""
+    return _split(df, id_col, [label], test_share, seed, out)
 
 
 def kfold_assign(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 42,
                  out: str = "fold") -> DataFrame:
     """Class-balanced folds, fold = (position within class - 1) mod k."""
-    p = _positions(df, id_col, seed, [label])
-    return p.withColumn(out, ((F.col("_pos") - 1) % k).cast("int")).drop("_h", "_pos", "_n")
+    p = ordered_running(df.withColumn("_h", _hash(id_col, seed)), ["_h", id_col], groups=[label], pos="_pos")
+    return p.withColumn(out, ((F.col("_pos") - 1) % k).cast("int")).drop("_h", "_pos")
 
 
 def class_weights(df: DataFrame, label: str, positive: int | None = None, multiplier: float = 1.0,

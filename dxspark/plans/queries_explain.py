@@ -92,7 +92,7 @@ def q_shapley_sampling(spark, sf):
 
 def _text_model(spark, sf):
     t = J.split_stratified(fx(spark, sf, "fx_text").withColumn("label", F.col("label").cast("double")),
-                           "doc_id", "label", 0.2, 42)
+                           "doc_id", "label", 0.2, 42).checkpoint()  # read several times
     return t, M.fit_text_classifier(t.where("split = 'train'"), "text")
 
 

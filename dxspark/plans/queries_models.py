@@ -212,8 +212,9 @@ def model_data(spark, sf):
     from dxspark.operators.codes import build_binary_dataset
     base = build_binary_dataset(fx(spark, sf, "fx_diag_wide"), "visit_id", DIAG_COLS, "psq",
                                 fx(spark, sf, "fx_crosswalk"), variant="codes")
-    data = base.withColumn("label", F.col("psq").rlike("F20.89").cast("double"))
-    # fitting scans the table once per tree level / boosting round: materialise it once
+    # written once: the split, fitting and scoring all read it
+    data = base.withColumn("label", F.col("psq").rlike("F20.89").cast("double")).checkpoint()
+    # fitting scans the table once per tree level / boosting round
     return J.split_stratified(data, "visit_id", "label", 0.3, 42).persist()
 
 
@@ -221,7 +222,7 @@ def model_data(spark, sf):
 def q_fit_random_forest(spark, sf):
     d = model_data(spark, sf)
     model = M.fit_random_forest(d.where("split = 'train'"), DIAG_COLS, num_trees=100, max_depth=10)
-    d.unpersist()  # fitted; scoring re-reads the (checkpointed) split lazily
+    d.unpersist()  # fitted; scoring re-reads the checkpointed rows lazily
     return M.predict_scores(model, d.where("split = 'test'"), ["visit_id"])
 
 
@@ -244,7 +245,7 @@ def q_fit_gradient_boosting(spark, sf):
 @query("fit_text_classifier")
 def q_fit_text_classifier(spark, sf):
     t = J.split_stratified(fx(spark, sf, "fx_text").withColumn("label", F.col("label").cast("double")),
-                           "doc_id", "label", 0.2, 42)
+                           "doc_id", "label", 0.2, 42).checkpoint()  # read several times
     model = M.fit_text_classifier(t.where("split = 'train'"), "text")
     return M.predict_scores(model, t.where("split = 'test'"), ["doc_id"])
 

@@ -2,6 +2,8 @@
 CSV, near ties, groups of one class, and the split of a hot key in the plan."""
 
 import collections
+import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +22,28 @@ def crosswalk(spark):
     return spark.createDataFrame(CROSSWALK, "ord long, icd9 string, icd10 string, description string")
 
 
+def test_split_cuts_by_brute_force(spark):
+    ids = [*range(3000), None, 7, 7]
+    df = spark.createDataFrame([(i, None if i is not None and i % 4 == 0 else 1) for i in ids], "id long, label int")
+    key = lambda i: "" if i is None else hashlib.md5(f"42|{i}".encode()).hexdigest()
+
+    def expected(rows, share):
+        ranked = sorted(map(key, rows))
+        n = min(len(ranked), math.ceil(len(ranked) * share))
+        return sorted(i if i is not None else -1 for i in rows if n and key(i) <= ranked[n - 1])
+
+    for share in (0.0, 0.001, 0.3, 1.0, 2.0):
+        got = J.split_random(df, "id", share).where("split = 'test'").collect()
+        assert sorted(r["id"] if r["id"] is not None else -1 for r in got) == expected(ids, share)
+        got = J.split_stratified(df, "id", "label", share).where("split = 'test'").collect()
+        for y in (None, 1):
+            of = [i for i in ids if (i is not None and i % 4 == 0) == (y is None)]
+            assert sorted(r["id"] if r["id"] is not None else -1 for r in got if r["label"] == y) == expected(of, share)
+    assert J.split_stratified(df.where("id < 0"), "id", "label").count() == J.split_random(df.where("id < 0"), "id").count() == 0
+    plan = J.split_stratified(df, "id", "label")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "NestedLoop" not in plan
+
+
 def test_null_labels_stay(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(100)], "id long, label int")
     split = J.split_stratified(df, "id", "label").collect()
