@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import collections
 import zlib
 
 import duckdb
@@ -43,6 +44,30 @@ def test_toxicity(spark):
     assert len(none) == 5 and all(r.score == 0 for r in none)
 
 
+def test_forms_by_brute_force(spark, monkeypatch):
+    """Counts do not depend on how often a task hands on what it has."""
+    docs = table(spark, SF_CHECK, "documents").selectExpr("doc_id", "text").unionByName(brute.edge_documents(spark).select("doc_id", "text"))
+    rows = docs.selectExpr("text", "cast(coalesce(doc_id, 0) % 3 as int) AS fold", "cast(coalesce(doc_id, 1) % 2 as int) AS label")
+    expected = collections.Counter()
+    for r in rows.collect():
+        for f in set().union(*map(toxicity.forms, toxicity._WORD.findall((r.text or "").lower()))):
+            expected[f, ("toxic" if r.label else "clean") + str(r.fold)] += 1
+    for keep in (300, toxicity.KEEP_FORMS):
+        monkeypatch.setattr(toxicity, "KEEP_FORMS", keep)
+        out = toxicity.counted_forms(rows).collect()
+        got = {(r.form, c): r[c] for r in out for c in r.asDict() if c != "form" and r[c]}
+        assert got == expected and len(out) == len({f for f, _ in expected})
+
+
+def test_labels_shuffled_or_broadcast(spark, monkeypatch):
+    docs, labels = table(spark, SF_SMALL, "documents"), table(spark, SF_SMALL, "labels")
+    labels = labels.unionByName(labels.limit(3)).unionByName(spark.createDataFrame([(None, 0, 1), (1, 0, None), (2, 0, 7)], labels.schema))
+    score = lambda: sorted(tuple(r) for r in toxicity.score_toxicity(docs, labels, rounds=2, depth=2).collect())
+    first = score()
+    monkeypatch.setattr(toxicity, "LABEL_BYTES", 0)
+    assert score() == first
+
+
 def test_language(spark):
     pages, docs = table(spark, SF_CHECK, "pages"), table(spark, SF_CHECK, "documents")
     odd = spark.createDataFrame([(9000, None, None), (9001, "http://x.y/", ""), (9002, "u", "<html lang=fr>"), (9002, "u", "<html lang=fr>")], "page_id bigint, url string, html string")
