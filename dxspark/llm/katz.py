@@ -52,8 +52,8 @@ from dxspark.llm.common import stored, table, words
 TOP = 5
 BACK = 0.1
 HOT = 1024
-CHUNK_TOKENS = 2_500_000
-BUCKET_BYTES = 12_000_000
+CHUNK_TOKENS = 2_000_000
+BUCKET_BYTES = 10_000_000
 END, START = 1, 2  # as hashes; a word with one of these is as unlikely as any other clash
 DIRECTORY, SUMS, CONTEXTS, BACKED, COUNTS = range(5)
 _RECORD = "kind int, at string, to int, blob binary"
