@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dxspark.functions.scalars import col
+from dxspark.operators.lookup import rekeyed
 from dxspark.operators.ordering import join_groups, ordered_running
 
 # The word pattern (two or more word characters, Unicode) and a
@@ -27,7 +28,7 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
               "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
-# ------------------------------------------------------------------ J1 / J2
+# ------------------------------------------------------------------ J1
 
 def label_vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value, idx): per column the sorted distinct values (null as '')
@@ -45,19 +46,27 @@ def label_encode_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) ->
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value"))
                       for c in cols])
     long = df.select(*ids, F.inline(cells))
-    return long.join(vocab, ["column", "value"]).select(*ids, "column", "idx")
+    blank = F.col("value") == ""
+    found = rekeyed(vocab, "value", "_key").withColumnRenamed("column", "_column")
+    rest = long.where(~blank).join(found, (F.col("column") == F.col("_column")) & (F.col("value") == F.col("_key")))
+    return rest.select(*ids, "column", "idx").unionByName(long.where(blank).select(*ids, "column", F.lit(0).cast("long").alias("idx")))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_idx") -> DataFrame:
-    """J1 wide: one integer column per encoded column."""
+    """J1 wide: one integer column per encoded column. Null and '' come first of
+    all values, so they are 0 and never looked up."""
     vocab = label_vocabulary(df, cols)
     out = df
     for c in cols:
-        v = vocab.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("idx").alias(c + suffix))
-        out = out.join(v, F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+        value = F.col(c).cast("string")
+        v = rekeyed(vocab.where((F.col("column") == c) & (F.col("value") != "")).select("value", F.col("idx").alias(c + suffix)), "value", f"_v_{c}")
+        out = out.join(v, F.when(value != "", value) == F.col(f"_v_{c}"), "left").drop(f"_v_{c}") \
+            .withColumn(c + suffix, F.coalesce(c + suffix, F.lit(0).cast("long")))
     return out
 
 
+# ------------------------------------------------------------------ J2
+
 def one_hot(df: DataFrame, ids: Sequence[str], c, values: Sequence[str] | None = None,
             numeric: Sequence[str] = (), max_values: int = 10_000) -> DataFrame:
     """Each row with one 0/1 column per value; `numeric` columns pass through.

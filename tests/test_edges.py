@@ -118,6 +118,14 @@ def test_equal_rows_and_keys_stay_apart(spark):
     assert got == {(1, "No encontrado", None, None): 3, (None, "No encontrado", None, None): 1, (2, "paranoid", None, None): 1}
 
 
+def test_label_encode_blanks(spark):
+    df = spark.createDataFrame([(1, "b", None), (2, "", "x"), (3, None, "y"), (4, "a", "x"), (4, "a", "x")], "id long, c string, d string")
+    got = sorted(tuple(r) for r in J.label_encode(df, ["c", "d"]).select("id", "c_idx", "d_idx").collect())
+    assert got == [(1, 2, 0), (2, 0, 1), (3, 0, 2), (4, 1, 1), (4, 1, 1)]
+    long = sorted(tuple(r) for r in J.label_encode_long(df, ["id"], ["c", "d"]).collect())
+    assert long == sorted((i, k, x) for i, c, d in got for k, x in (("c", c), ("d", d)))
+
+
 def test_one_hot_rows(spark):
     df = spark.createDataFrame([(1, "a", 2.5), (1, "b", 0.5), (2, None, 1.0)], "id long, c string, x double")
     got = J.one_hot(df, ["id"], "c", numeric=["x"])
@@ -128,7 +136,9 @@ def test_one_hot_rows(spark):
 @pytest.mark.parametrize("lookup", [
     lambda df, cw: L.lookup_first(df, "code", cw, "icd9", ["description"]),
     lambda df, cw: L.membership_flag(df, "code", cw, "icd9"),
-    lambda df, cw: C.with_variant(df, "code", C.icd9_to_icd10_index(cw), "to10")])
+    lambda df, cw: C.with_variant(df, "code", C.icd9_to_icd10_index(cw), "to10"),
+    lambda df, cw: J.label_encode(df, ["code"]),
+    lambda df, cw: J.label_encode_long(df, ["id", "pad"], ["code"])])
 def test_hot_key_is_split(spark, lookup):
     hot = spark.range(300_000, numPartitions=8).select("id", F.when(F.col("id") % 3 > 0, "295.3").otherwise(F.col("id").cast("string")).alias("code"),
                                                        F.md5(F.col("id").cast("string")).alias("pad"))
