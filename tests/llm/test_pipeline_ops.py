@@ -100,6 +100,35 @@ def test_quality_copies_are_no_boilerplate(spark):
     assert quality.quality(spark.createDataFrame(rows, brute.SCHEMA)).where("NOT kept").count() == 0
 
 
+def _prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+@pytest.mark.parametrize("n_template", [10, 20, 80])
+def test_quality_template_pages(spark, n_template):
+    """Different pages with a long template in common: all of its lines go."""
+    rng = random.Random(n_template)
+    template = "\n".join(_prose(rng, 3) for _ in range(n_template))
+    rows = [(k, f"{template}\n{_prose(rng, 20)}", "en", "s", 0) for k in range(200)]
+    rows += [(1000 + k, _prose(rng, 30), "en", "s", 0) for k in range(200)]
+    out = quality.quality(spark.createDataFrame(rows, brute.SCHEMA)).collect()
+    assert Counter(r.n_removed_lines for r in out) == {n_template: 200, 0: 200}
+    assert {r.doc_id for r in out if r.n_left_words != (20 if r.doc_id < 1000 else 30)} == set()
+
+
+def test_quality_edited_copies_anywhere(spark):
+    """A text with one word changed, in any line, is no other document."""
+    rng = random.Random(8)
+    text = [_prose(rng, 12).split() for _ in range(20)]
+    rows = []
+    for k in range(200):
+        now = [list(x) for x in text]
+        now[rng.randrange(20)][rng.randrange(12)] = _prose(rng, 1)
+        rows.append((k, "\n".join(map(" ".join, now)), "en", "s", 0))
+    rows += [(1000 + k, _prose(rng, 30), "en", "s", 0) for k in range(200)]
+    assert quality.quality(spark.createDataFrame(rows, brute.SCHEMA)).where("NOT kept OR n_removed_lines > 0").count() == 0
+
+
 @pytest.mark.parametrize(("shard_words", "block_words"), [(1_000_000, 2_000_000), (300, 60)])
 def test_decontaminate(spark, edge, shard_words, block_words):
     docs = table(spark, SF_SMALL, "documents")
