@@ -18,10 +18,13 @@ stands a million times is indexed once. Texts are shuffled once, for that; the
 join moves 24 bytes a key, and whole lines are fetched only for candidates.
 Linked lines form classes (connected components).
 
-Lines are what stands between newlines. Those without a word are left out. Lines
-of fewer than `min_chars` characters, of which a few edits make any other, are
-duplicates only of their exact copies; that is the rule, not a cut: every line
-is in the result.
+Lines are what stands between newlines. Those without a word are left out. The
+segments need more than `threshold` characters. A shorter line is within
+`threshold` edits of every other such line, which needs no pairs: they make a
+star. With a longer line it shares a character if they link, and lines of up to
+2 * `threshold` characters are joined by that. A caller's `min_chars` above 1
+leaves shorter lines duplicates only of their exact copies; they stay in the
+result.
 
 Edge cases: null and empty texts have no lines; repeated rows and repeated lines
 have a row each; a null doc_id stays; very long lines are compared whole; an
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from dxspark.llm.common import connected_components, stored, table
 
 THRESHOLD = 2
-MIN_CHARS = 32
+MIN_CHARS = 1
 LETTERS = "etaoins"
 #: candidate hashes, 8 bytes each, that are sent to every task at most
 BROADCAST_KEYS = 1_000_000
@@ -75,7 +78,8 @@ def _letters_near(a: Column, b: Column, threshold: int) -> Column:
 
 
 def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): hashes of lines that share a segment in place; each pair once.
+    """(a, b): hashes of lines that share a segment in place, or a character where
+    a has at most `threshold`; each pair once, and none where both are so short.
 
     lines: `h`, `line`, its length `n` and its `sig`, without repeats of h. The
     windows are rows of a small constant array, so that one short expression
@@ -83,7 +87,7 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     parts, n = threshold + 1, F.col("n")
     begin, size = _segment(n, F.col("i"), parts)
-    index = (lines.select("h", "line", "n", "sig", F.explode(F.array(*[F.lit(i) for i in range(parts)])).alias("i"))
+    index = (lines.where(n > threshold).select("h", "line", "n", "sig", F.explode(F.array(*[F.lit(i) for i in range(parts)])).alias("i"))
              .select(F.xxhash64("n", "i", F.substr("line", begin, size)).alias("key"), F.col("h").alias("a"), F.col("sig").alias("a_sig")))
     windows = [(less, i, shift) for less in range(threshold + 1) for i in range(parts)
                for shift in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1)]
@@ -91,11 +95,15 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     length = n - F.col("less")
     begin, size = _segment(length, F.col("i"), parts)
     begin = begin + F.col("shift")
-    probe = (lines.select("h", "line", "n", "sig", F.inline(window)).where((begin >= 1) & (begin + size - 1 <= n))
+    probe = (lines.select("h", "line", "n", "sig", F.inline(window)).where((length > threshold) & (begin >= 1) & (begin + size - 1 <= n))
              .select(F.col("h").alias("b"), F.xxhash64(length, "i", F.substr("line", begin, size)).alias("key"), F.col("sig").bitwiseOR(F.col("less")).alias("b_sig")))
     once = (F.col("b_sig").bitwiseAND(F.lit(255)) > 0) | (F.col("a") < F.col("b"))
     near = _letters_near(F.col("a_sig"), F.col("b_sig"), threshold)
-    return index.join(probe, "key").where(once & near & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    met = index.join(probe, "key").where(once & near & (F.col("a") != F.col("b"))).select("a", "b")
+    char = F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)))).alias("char")
+    short = lines.where(n <= threshold).select(F.col("h").alias("a"), n.alias("a_n"), char)
+    longer = lines.where((n > threshold) & (n <= 2 * threshold)).select(F.col("h").alias("b"), "n", char)
+    return met.unionByName(short.join(longer, "char").where(n <= F.col("a_n") + threshold).select("a", "b")).distinct()
 
 
 def within(r: Column, s: Column, threshold: int) -> Column:
@@ -139,7 +147,8 @@ def within(r: Column, s: Column, threshold: int) -> Column:
 
 
 def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b, edits): hashes of different lines within `threshold` edits."""
+    """(a, b, edits): hashes of different lines within `threshold` edits, not both
+    of at most `threshold` characters."""
     long = lines_of(docs, id_col, text_col).where(F.length("line") >= min_chars).select("h", "line")
     measured = long.select("h", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("sig"))
     pairs = stored(candidates(measured.dropDuplicates(["h"]), threshold), "line_pairs")
@@ -156,8 +165,14 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is in (the smallest hash of a line in it), and how many different lines are
     within `threshold` edits of it."""
     links = line_links(docs, id_col, text_col, threshold, min_chars)
-    ends = links.select(F.col("a").alias("h")).unionByName(links.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("n_links"))
-    classes = stored(connected_components(links.select("a", "b")).withColumnRenamed("node", "h").join(ends, "h"), "line_classes")
+    n = F.length("line")
+    short = stored(lines_of(docs, id_col, text_col).where((n >= min_chars) & (n <= threshold)).select("h").distinct(), "line_short")
+    n_short, least = short.agg(F.count("*"), F.min("h")).first()
+    star = short.where(F.col("h") != F.lit(least)).select(F.lit(least).cast("bigint").alias("a"), F.col("h").alias("b"))
+    ends = (links.select(F.col("a").alias("h"), F.lit(1).alias("k")).unionByName(links.select(F.col("b").alias("h"), F.lit(1).alias("k")))
+            .unionByName(short.select("h", F.lit(n_short - 1).alias("k")))
+            .groupBy("h").agg(F.sum("k").alias("n_links")))
+    classes = stored(connected_components(links.select("a", "b").unionByName(star)).withColumnRenamed("node", "h").join(ends, "h"), "line_classes")
     every = lines_of(docs, id_col, text_col).select(id_col, "line_no", "h")
     return every.join(classes, "h", "left").select(id_col, "line_no", F.coalesce("root", "h").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

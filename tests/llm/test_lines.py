@@ -86,6 +86,19 @@ def test_edited_lines(spark):
     check(docs, 3, 10)
 
 
+def test_short_lines(spark):
+    """Lines of 1 to 31 characters link as longer ones do."""
+    rng = random.Random(6)
+    made = ["Are, is anwh reenen.", "Are. Is anwh reenen.", "a", "b", "é", "𝄞", "ab", "𝄞b", "xy", "qrs", "xqy", "wxvy", "mnop"]
+    made += ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in range(1, 32) for _ in range(3)]
+    made += [edited(rng, x, rng.randrange(1, 4)) for x in made if len(x) > 6]
+    docs = stored(spark.createDataFrame([(k, "\n".join(rng.sample(made, 9))) for k in range(40)] + [(99, "\n".join(made[:13]))], "doc_id bigint, text string"), "d")
+    for threshold in (2, 1, 3):
+        check(docs, threshold, 1)
+    links = {(r.doc_id, r.line_no): r.n_links for r in lines.line_classes(docs).collect()}
+    assert links[99, 0] and links[99, 1]
+
+
 def test_tables_and_edges(spark):
     docs = table(spark, SF_SMALL, "documents").where("doc_id < 50").select("doc_id", "text")
     check(stored(docs.unionByName(brute.edge_documents(spark).where("length(text) < 9000 OR text IS NULL").select("doc_id", "text")), "d"))
