@@ -87,7 +87,8 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     parts, n = threshold + 1, F.col("n")
     begin, size = _segment(n, F.col("i"), parts)
-    index = (lines.where(n > threshold).select("h", "line", "n", "sig", F.explode(F.array(*[F.lit(i) for i in range(parts)])).alias("i"))
+    long = lines.where(n > threshold)  # one exchange of texts for both sides
+    index = (long.select("h", "line", "n", "sig", F.explode(F.array(*[F.lit(i) for i in range(parts)])).alias("i"))
              .select(F.xxhash64("n", "i", F.substr("line", begin, size)).alias("key"), F.col("h").alias("a"), F.col("sig").alias("a_sig")))
     windows = [(less, i, shift) for less in range(threshold + 1) for i in range(parts)
                for shift in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1)]
@@ -95,7 +96,7 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     length = n - F.col("less")
     begin, size = _segment(length, F.col("i"), parts)
     begin = begin + F.col("shift")
-    probe = (lines.select("h", "line", "n", "sig", F.inline(window)).where((length > threshold) & (begin >= 1) & (begin + size - 1 <= n))
+    probe = (long.select("h", "line", "n", "sig", F.inline(window)).where((length > threshold) & (begin >= 1) & (begin + size - 1 <= n))
              .select(F.col("h").alias("b"), F.xxhash64(length, "i", F.substr("line", begin, size)).alias("key"), F.col("sig").bitwiseOR(F.col("less")).alias("b_sig")))
     once = (F.col("b_sig").bitwiseAND(F.lit(255)) > 0) | (F.col("a") < F.col("b"))
     near = _letters_near(F.col("a_sig"), F.col("b_sig"), threshold)
@@ -151,7 +152,7 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of at most `threshold` characters."""
     long = lines_of(docs, id_col, text_col).where(F.length("line") >= min_chars).select("h", "line")
     measured = long.select("h", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("sig"))
-    pairs = stored(candidates(measured.dropDuplicates(["h"]), threshold), "line_pairs")
+    pairs = stored(candidates(measured.dropDuplicates(["h", "n"]), threshold), "line_pairs")
     wanted = stored(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "line_wanted")
     if wanted.count() <= BROADCAST_KEYS:  # else the lines are shuffled to them
         wanted = F.broadcast(wanted)
