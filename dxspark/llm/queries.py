@@ -14,6 +14,7 @@ from dxspark.llm.mixing import op10_mixing
 from dxspark.llm.quality import op3_quality
 from dxspark.llm.shard import op8_sharding
 from dxspark.llm.simhash import op4_simhash
+from dxspark.llm.spelling import op13_spelling
 from dxspark.llm.toxicity import op5_toxicity
 from dxspark.llm.urls import OP9_SQL, op9_urls
 
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_urls": op9_urls,
     "op10_mixing": op10_mixing,
+    "op13_spelling": op13_spelling,
 }
 
 
