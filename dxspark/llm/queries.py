@@ -17,6 +17,7 @@ from dxspark.llm.simhash import op4_simhash
 from dxspark.llm.spelling import op13_spelling
 from dxspark.llm.toxicity import op5_toxicity
 from dxspark.llm.urls import OP9_SQL, op9_urls
+from dxspark.llm.whiten import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_urls": op9_urls,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
     "op13_spelling": op13_spelling,
 }
 
