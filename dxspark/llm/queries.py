@@ -10,6 +10,7 @@ from dxspark.llm.decontaminate import op7_decontaminate
 from dxspark.llm.katz import op2_katz
 from dxspark.llm.langid import op6_language
 from dxspark.llm.lines import op1_lines
+from dxspark.llm.minhash import op12_minhash
 from dxspark.llm.mixing import op10_mixing
 from dxspark.llm.quality import op3_quality
 from dxspark.llm.shard import op8_sharding
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_urls": op9_urls,
     "op10_mixing": op10_mixing,
     "op11_whitening": op11_whitening,
+    "op12_minhash": op12_minhash,
     "op13_spelling": op13_spelling,
 }
 
