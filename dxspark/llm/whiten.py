@@ -31,11 +31,12 @@ from math import ceil
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
+from pyspark.mllib.linalg import Matrices, MatrixUDT
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dxspark.llm.common import stored, table
 
@@ -44,6 +45,7 @@ ROWS, COLS, HELD, STRIPE = 4096, 1024, 8, 1024
 LARGEST = float(1 << 20)
 SCALE, SHIFT = 1024, 100_000
 FLAT = 1e-12
+BLOCK = T.StructType([T.StructField("at", T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType())])), T.StructField("matrix", MatrixUDT())])
 
 
 def _usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -103,8 +105,9 @@ def _local_blocks(spark: SparkSession, w: np.ndarray, rows_per_block: int, cols_
     """A small matrix as a BlockMatrix over so many partitions."""
     d, k = w.shape
     cut = [((i // rows_per_block, j // cols_per_block), w[i:i + rows_per_block, j:j + cols_per_block]) for i in range(0, d, rows_per_block) for j in range(0, k, cols_per_block)]
-    held = spark.sparkContext.parallelize([(at, Matrices.dense(*m.shape, m.flatten(order="F"))) for at, m in cut], partitions)
-    return BlockMatrix(held, rows_per_block, cols_per_block, d, k)
+    held = spark.createDataFrame([(at, Matrices.dense(*m.shape, m.flatten(order="F"))) for at, m in cut], BLOCK).repartition(partitions)
+    made = callMLlibFunc("createBlockMatrix", held, rows_per_block, cols_per_block, d, k)
+    return BlockMatrix(made, rows_per_block, cols_per_block)
 
 
 def components(scatter: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, float]:
