@@ -200,15 +200,17 @@ def expand_target_codes(visits: DataFrame, row_key: str, target: str, crosswalk:
                         cache: DataFrame | None = None) -> DataFrame:
     """From a comma list of target codes, the ICD-10 list, the ICD-9 list and
     the Spanish / English description lists, converting in the direction given
-    by the row's version. The source-version list is kept as written."""
+    by the row's version. The source-version list is kept as written. Lists are
+    made once for each different text, so keys may repeat or be null; a row a row."""
     v = _row_kind(visits.where(F.col(target).isNotNull()), target, crosswalk)
-    long = v.select(row_key, "_is10", F.posexplode(split_codes_comma(target)).alias("pos", "code"))
+    texts = v.select(F.col(target).alias("_list"), "_is10").distinct()
+    long = texts.select("_list", "_is10", F.posexplode(split_codes_comma("_list")).alias("pos", "code"))
     long = _with_facts(long, crosswalk, cache,
                        F.when(F.col("_is10"), F.col("code")).otherwise(F.coalesce("_to10", F.lit(""))))
     item = F.struct("pos", F.coalesce("_to10", F.lit("")).alias("to10"), F.coalesce("_to9", F.lit("")).alias("to9"),
                     F.col("_es").alias("es"), F.col("_dcode").alias("dcode"), F.col("_en").alias("en"))
-    per = long.groupBy(row_key).agg(F.collect_list(item).alias("_l"))
-    out = v.select(row_key, target, "_is10").join(per, row_key, "left")
+    per = rekeyed(long.groupBy("_list").agg(F.collect_list(item).alias("_l")), "_list", "_list")
+    out = v.select(row_key, target, "_is10").join(per, F.col(target) == F.col("_list"), "left")
     return out.select(
         row_key,
         F.when(F.col("_is10"), F.col(target)).otherwise(_join_list(F.col("_l"), "to10")).alias("icd10_list"),
@@ -220,9 +222,11 @@ def expand_target_codes(visits: DataFrame, row_key: str, target: str, crosswalk:
 def expand_bracket_codes(visits: DataFrame, row_key: str, target: str, codes_col: str,
                          crosswalk: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """I4: the same for '[code] x [code]' groups. ICD-9 rows keep only the codes
-    that convert (as '[X]'); ICD-10 rows write '[NN]' for codes without ICD-9."""
+    that convert (as '[X]'); ICD-10 rows write '[NN]' for codes without ICD-9.
+    Keys may repeat or be null."""
     v = _row_kind(visits.where(F.col(target).isNotNull()), target, crosswalk)
-    long = v.select(row_key, "_is10", F.posexplode(extract_bracket_codes(codes_col)).alias("pos", "code"))
+    texts = v.select(F.col(codes_col).alias("_list"), F.col("_is10").alias("_kind")).where("_list IS NOT NULL").distinct()
+    long = texts.select("_list", "_kind", F.col("_kind").alias("_is10"), F.posexplode(extract_bracket_codes("_list")).alias("pos", "code"))
     # ICD-9 rows describe only converted codes; ICD-10 rows every code.
     long = _with_facts(long, crosswalk, cache,
                        F.when(F.col("_is10"), F.col("code"))
@@ -233,8 +237,8 @@ def expand_bracket_codes(visits: DataFrame, row_key: str, target: str, codes_col
     item = F.struct("pos", bracket10.alias("to10"), bracket9.alias("to9"),
                     F.when(F.col("_dcode").isNotNull(), F.col("_es")).alias("es"),
                     F.col("_dcode").alias("dcode"), F.when(F.col("_dcode").isNotNull(), F.col("_en")).alias("en"))
-    per = long.groupBy(row_key).agg(F.collect_list(item).alias("_l"))
-    out = v.select(row_key, codes_col, "_is10").join(per, row_key, "left")
+    per = rekeyed(long.groupBy("_list", "_kind").agg(F.collect_list(item).alias("_l")), "_list", "_list")
+    out = v.select(row_key, codes_col, "_is10").join(per, (F.col(codes_col) == F.col("_list")) & (F.col("_is10") == F.col("_kind")), "left")
     described = F.filter(F.array_sort(F.col("_l")), lambda x: x["dcode"].isNotNull())
     return out.select(
         row_key,
@@ -246,13 +250,15 @@ def expand_bracket_codes(visits: DataFrame, row_key: str, target: str, codes_col
 
 def describe_code_list(visits: DataFrame, row_key: str, target: str, crosswalk: DataFrame) -> DataFrame:
     """Comma list -> descriptions (variant lookup) joined by ', ';
-    a miss becomes 'Descripcion no encontrada #'."""
-    long = visits.where(F.col(target).isNotNull()) \
-        .select(row_key, F.posexplode(split_codes_comma(target)).alias("pos", "code"))
+    a miss becomes 'Descripcion no encontrada #'. Keys may repeat or be null."""
+    rows = visits.where(F.col(target).isNotNull()).select(row_key, target)
+    texts = rows.select(F.col(target).alias("_list")).distinct()
+    long = texts.select("_list", F.posexplode(split_codes_comma("_list")).alias("pos", "code"))
     long = with_variant(long, "code", description_index(crosswalk), "_es") \
         .withColumn("_es", F.coalesce("_es", F.lit(NOT_FOUND_DESCRIPTION)))
-    per = long.groupBy(row_key).agg(F.collect_list(F.struct("pos", F.col("_es").alias("es"))).alias("_l"))
-    return per.select(row_key, _strip_trailing_sep(_join_list(F.col("_l"), "es", keep_empty=True)).alias("descriptions"))
+    per = long.groupBy("_list").agg(F.collect_list(F.struct("pos", F.col("_es").alias("es"))).alias("_l"))
+    per = per.select("_list", _strip_trailing_sep(_join_list(F.col("_l"), "es", keep_empty=True)).alias("descriptions"))
+    return rows.join(rekeyed(per, "_list", "_list"), F.col(target) == F.col("_list")).select(row_key, "descriptions")
 
 
 # ------------------------------------------------------------ I5

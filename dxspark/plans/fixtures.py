@@ -37,6 +37,10 @@ SELECT o_orderkey AS visit_id,
             WHEN c_custkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS provincia,
        CASE WHEN c_custkey % 37 = 0 THEN NULL ELSE CAST(1000 + c_custkey % 97 AS STRING) END AS cod_postal
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "fx_visits_mixed": """
+SELECT CASE WHEN visit_id % 11 = 0 THEN NULL WHEN visit_id % 3 = 0 THEN visit_id - visit_id % 24 ELSE visit_id END AS visit_id,
+       psq, conjunto, provincia, cod_postal
+FROM fx_visits""",
     "fx_diag_long": """
 SELECT l_orderkey AS visit_id, CAST(rn AS INT) AS pos,
        CASE WHEN l_quantity < 3 THEN NULL WHEN l_quantity < 5 THEN '  '

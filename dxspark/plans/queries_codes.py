@@ -115,17 +115,44 @@ def q_describe_codes(spark, sf):
     return C.describe_codes(fx(spark, sf, "fx_diag_wide"), "visit_id", DIAG_COLS, "psq", _cw(spark, sf))
 
 
-@query("describe_code_list", f"""
+_DESCRIBE_LIST_SQL = f"""
 WITH long AS (SELECT visit_id, unnest(sp) AS code, generate_subscripts(sp, 1) AS pos
               FROM (SELECT visit_id, {Q.split_comma('psq')} AS sp FROM fx_visits WHERE psq IS NOT NULL) s)
 SELECT long.visit_id,
        regexp_replace(string_agg(coalesce(d.value, 'Descripcion no encontrada #'), ', ' ORDER BY pos), '[, ]+$', '') AS descriptions
 FROM long LEFT JOIN {Q.probe_desc('SELECT code FROM long')} d ON long.code = d.code
-GROUP BY long.visit_id""")
+GROUP BY long.visit_id"""
+
+
+@query("describe_code_list", _DESCRIBE_LIST_SQL)
 def q_describe_code_list(spark, sf):
     return C.describe_code_list(fx(spark, sf, "fx_visits"), "visit_id", "psq", _cw(spark, sf))
 
 
+# fx_visits_mixed is fx_visits with repeated and null keys: the lists of a visit stay its own
+MIXED_KEY = "CASE WHEN visit_id % 11 = 0 THEN NULL WHEN visit_id % 3 = 0 THEN visit_id - visit_id % 24 ELSE visit_id END"
+
+
+def _mixed(sql: str) -> str:
+    return f"SELECT * REPLACE ({MIXED_KEY} AS visit_id) FROM ({sql}) e"
+
+
+@query("expand_target_codes_mixed", _mixed(_expand_sql("psq", Q.split_comma, brackets=False)))
+def q_expand_target_codes_mixed(spark, sf):
+    return C.expand_target_codes(fx(spark, sf, "fx_visits_mixed"), "visit_id", "psq", _cw(spark, sf), fx(spark, sf, "fx_cache"))
+
+
+@query("expand_bracket_codes_mixed", _mixed(_expand_sql("conjunto", Q.brackets, brackets=True)))
+def q_expand_bracket_codes_mixed(spark, sf):
+    return C.expand_bracket_codes(fx(spark, sf, "fx_visits_mixed"), "visit_id", "psq", "conjunto", _cw(spark, sf),
+                                  fx(spark, sf, "fx_cache"))
+
+
+@query("describe_code_list_mixed", _mixed(_DESCRIBE_LIST_SQL))
+def q_describe_code_list_mixed(spark, sf):
+    return C.describe_code_list(fx(spark, sf, "fx_visits_mixed"), "visit_id", "psq", _cw(spark, sf))
+
+
 @query("build_code_master", f"""
 WITH codes AS ({DISTINCT_CODES_SQL.replace('AS diagnostico', 'AS code')})
 SELECT coalesce(f.description, '') AS termino_es, c.code AS icd10, coalesce(f.icd9, '') AS icd9,

@@ -2,48 +2,57 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from dxspark.operators import explain as L
-from dxspark.operators import features as J
 from dxspark.operators import models as M
+from dxspark.operators import textexplain as L2
 from dxspark.operators.agg import sample_n
 from dxspark.plans.fixtures import fx
 from dxspark.plans.queries_agg import DIAG_COLS
+from dxspark.plans.queries_models import text_model
 from dxspark.plans.registry import query
 
-N_SAMPLES = 64
+N_SAMPLES, TOP = 500, 20
+TOKENS_SQL = r"(SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS l FROM fx_all_text)"
 
 
-def _perturbation_sql(top: int | None) -> str:
-    keep_top = f"WHERE rank <= {top}" if top else ""
-    return rf"""
-WITH t AS (SELECT doc_id, unnest(l) AS token, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos
-           FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS l FROM fx_text) d),
-x0 AS (SELECT t.*, r.s, ((doc_id % 2147483647) * 48271 + r.s * 7919 + pos * 104729 + 42) % 2147483647 AS x
-       FROM t, (SELECT unnest(range(1, {N_SAMPLES} + 1)) AS s) r),
-x1 AS (SELECT doc_id, token, pos, s, (x * x + 12345) % 2147483647 AS x FROM x0),
-ts AS (SELECT doc_id, token, pos, s, ((x * x + 67890) % 2147483647) * 2 < 2147483647 AS keep FROM x1),
-sc AS (SELECT doc_id, s, coalesce(avg(CASE WHEN keep THEN (length(token) % 5) / 4.0 END), 0.5) AS score FROM ts GROUP BY 1, 2),
-w AS (SELECT ts.doc_id, ts.pos, ts.token,
-             coalesce(avg(CASE WHEN keep THEN score END) - avg(CASE WHEN NOT keep THEN score END), 0.0) AS weight
-      FROM ts JOIN sc ON ts.doc_id = sc.doc_id AND ts.s = sc.s GROUP BY 1, 2, 3),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(weight), 9) DESC, pos) AS INTEGER) AS rank FROM w)"""
+def _surrogates(spark, sf):
+    """Every document, explained under the fitted text classifier."""
+    _, model = text_model(spark, sf)
+    return model, L2.text_surrogate(fx(spark, sf, "fx_all_text"), "doc_id", "text", model, N_SAMPLES, TOP, 42)
 
 
-# "+ 0.0" turns the engine's -0.0 from rounding a tiny negative into 0.0, as Spark's round does
-@query("text_perturbation", _perturbation_sql(20) + "\nSELECT doc_id, pos, token, round(weight, 6) + 0.0 AS weight, rank FROM ranked WHERE rank <= 20")
+@query("text_perturbation")
 def q_text_perturbation(spark, sf):
-    out = L.text_perturbation(fx(spark, sf, "fx_text"), "doc_id", "text", N_SAMPLES, 42, top=20)
-    return out.withColumn("weight", F.round("weight", 6))
-
-
-@query("word_weights", _perturbation_sql(None) + """
-SELECT token, round(avg(abs(weight)), 6) AS weight FROM w GROUP BY token
-ORDER BY round(avg(abs(weight)), 9) DESC, token LIMIT 50""")
+    return _surrogates(spark, sf)[1].select("doc_id", "token", "weight", "rank")
+
+
+@query("text_perturbation_check", f"""
+SELECT doc_id, CAST(least({TOP}, len(list_distinct(l))) AS BIGINT) AS n_weights, true AS ranks_fit, true AS solves_normal_equations,
+       true AS adds_up, true AS score_is_the_models
+FROM {TOKENS_SQL} t WHERE len(l) > 0""")
+def q_text_perturbation_check(spark, sf):
+    """What holds for a weighted ridge fit: its residuals are orthogonal to every
+    mask column up to the penalty; and its parts belong together."""
+    model, s = _surrogates(spark, sf)
+    each = s.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_weights"), F.max("rank").alias("last"), F.countDistinct("rank").alias("ranks"), F.max("gap").alias("gap"),
+        F.max(F.abs("weight")).alias("largest"), F.max(F.when(F.col("rank") == 1, F.abs("weight"))).alias("first"),
+        F.sum("weight").alias("sum"), F.first("intercept").alias("intercept"), F.first("local_score").alias("local"), F.first("score").alias("score"))
+    scored = model.transform(fx(spark, sf, "fx_all_text")).select("doc_id", vector_to_array("probability")[1].alias("p"))
+    return each.join(scored, "doc_id").select(
+        "doc_id", "n_weights",
+        ((F.col("last") == F.col("n_weights")) & (F.col("ranks") == F.col("n_weights")) & (F.col("largest") - F.col("first") < 1e-9)).alias("ranks_fit"),
+        (F.col("gap") < 1e-8).alias("solves_normal_equations"),
+        (F.abs(F.col("sum") + F.col("intercept") - F.col("local")) < 1e-9).alias("adds_up"),
+        (F.abs(F.col("score") - F.col("p")) < 1e-9).alias("score_is_the_models"))
+
+
+@query("word_weights")
 def q_word_weights(spark, sf):
-    w = L.text_perturbation(fx(spark, sf, "fx_text"), "doc_id", "text", N_SAMPLES, 42, top=None)
-    return L.word_weights(w).withColumn("weight", F.round("weight", 6))
+    return L.word_weights(_surrogates(spark, sf)[1])
 
 
 @query("global_importance", """
@@ -90,20 +99,32 @@ def q_shapley_sampling(spark, sf):
     return L.shapley_sampling(model, test, "visit_id", DIAG_COLS, background, n_perm=8)
 
 
-def _text_model(spark, sf):
-    t = J.split_stratified(fx(spark, sf, "fx_text").withColumn("label", F.col("label").cast("double")),
-                           "doc_id", "label", 0.2, 42).checkpoint()  # read several times
-    return t, M.fit_text_classifier(t.where("split = 'train'"), "text")
-
-
 @query("token_occlusion")
 def q_token_occlusion(spark, sf):
-    t, model = _text_model(spark, sf)
-    return L.token_occlusion(model, t.where("split = 'test'"), "doc_id", "text")
+    _, model = text_model(spark, sf)
+    return L2.token_contributions(fx(spark, sf, "fx_all_text"), "doc_id", "text", model).select("doc_id", "pos", "token", "contribution")
+
+
+@query("token_occlusion_check", f"""
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_tokens, true AS sums_to_score, true AS score_is_the_models, true AS base_is_of_no_text
+FROM {TOKENS_SQL} t WHERE len(l) > 0""")
+def q_token_occlusion_check(spark, sf):
+    """Contributions of every token of every text sum to f(text) - f(no text)."""
+    _, model = text_model(spark, sf)
+    texts = fx(spark, sf, "fx_all_text")
+    each = L2.token_contributions(texts, "doc_id", "text", model).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.sum("contribution").alias("sum"), F.first("score").alias("score"), F.first("base").alias("base"))
+    none = model.transform(spark.createDataFrame([("",)], "text string")).select(vector_to_array("probability")[1]).first()[0]
+    scored = model.transform(texts).select("doc_id", vector_to_array("probability")[1].alias("p"))
+    near = lambda x, y: F.abs(x - y) < 1e-9
+    return each.join(scored, "doc_id").select(
+        "doc_id", "n_tokens", near(F.col("sum"), F.col("score") - F.col("base")).alias("sums_to_score"),
+        near(F.col("score"), F.col("p")).alias("score_is_the_models"), near(F.col("base"), F.lit(none)).alias("base_is_of_no_text"))
 
 
 @query("text_perturbation_model")
 def q_text_perturbation_model(spark, sf):
-    t, model = _text_model(spark, sf)
-    return L.text_perturbation(t.where("split = 'test'"), "doc_id", "text", N_SAMPLES, 42,
-                               scorer=L.model_scorer(model), top=20)
+    """The surrogates of the held-out documents with how well they fit."""
+    t, model = text_model(spark, sf)
+    out = L2.text_surrogate(t.where("split = 'test'"), "doc_id", "text", model, N_SAMPLES, TOP, 42)
+    return out.select("doc_id", "token", "weight", "rank", "score", "intercept", "local_score", "fit")

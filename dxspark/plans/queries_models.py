@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dxspark.operators import features as J
 from dxspark.operators import metrics as K
 from dxspark.operators import models as M
+from dxspark.operators import textmodel as T
 from dxspark.plans.fixtures import fx
 from dxspark.plans.queries_agg import DIAG_COLS
 from dxspark.plans.queries_reshape import LANGS
@@ -242,14 +243,63 @@ def q_fit_gradient_boosting(spark, sf):
     return M.predict_scores(model, d.where("split = 'test'"), ["visit_id"])
 
 
-@query("fit_text_classifier")
-def q_fit_text_classifier(spark, sf):
+def text_model(spark, sf):
+    """The labelled texts with a stratified 80/20 split, and the classifier that
+    five passes over the training part give."""
     t = J.split_stratified(fx(spark, sf, "fx_text").withColumn("label", F.col("label").cast("double")),
                            "doc_id", "label", 0.2, 42).checkpoint()  # read several times
-    model = M.fit_text_classifier(t.where("split = 'train'"), "text")
+    return t, T.fit_text_epochs(t.where("split = 'train'"), t.where("split = 'test'"), "text", epochs=TEXT_EPOCHS)
+
+
+TEXT_EPOCHS = 5
+TEST_TEXTS_SQL = """(SELECT doc_id, label FROM (
+  SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) AS r,
+         ceil(count(*) OVER (PARTITION BY label) * 0.2) AS cut FROM fx_text) s WHERE r <= cut)"""
+
+
+@query("fit_text_classifier")
+def q_fit_text_classifier(spark, sf):
+    t, model = text_model(spark, sf)
     return M.predict_scores(model, t.where("split = 'test'"), ["doc_id"])
 
 
+@query("fit_text_classifier_check", f"""
+SELECT doc_id, CAST(label AS INTEGER) AS y, true AS score_in_range, true AS pred_is_half_or_more FROM {TEST_TEXTS_SQL} t""")
+def q_fit_text_classifier_check(spark, sf):
+    """The scored keys and labels, and what holds for every score."""
+    s = q_fit_text_classifier(spark, sf)
+    return s.select("doc_id", "y", F.col("score").between(0, 1).alias("score_in_range"),
+                    (F.col("pred") == (F.col("score") >= 0.5).cast("int")).alias("pred_is_half_or_more"))
+
+
+@query("text_training_log")
+def q_text_training_log(spark, sf):
+    """A row per pass: loss and evaluation, and whether it is the pass that was kept."""
+    _, model = text_model(spark, sf)
+    return (T.log_table(model).select("model", F.inline("log_history"))
+            .withColumn("kept", F.col("step") == model.epoch))
+
+
+@query("text_training_check", f"""
+SELECT CAST({TEXT_EPOCHS} AS BIGINT) AS passes, true AS kept_is_first_best, true AS log_agrees_with_scores, count(*) AS n_scored
+FROM {TEST_TEXTS_SQL} t""")
+def q_text_training_check(spark, sf):
+    """K15 over the written log finds the pass that was kept, and the log's
+    figures of that pass are those of the scores."""
+    t, model = text_model(spark, sf)
+    path = scratch_path(spark, "text_log")
+    log = T.log_table(model)
+    log.write.json(path)
+    best = K.training_log_best(spark.read.schema(log.schema).json(path), "model")
+    scored = M.predict_scores(model, t.where("split = 'test'"), ["doc_id"]).withColumn("model", F.lit("text"))
+    now = K.binary_metrics(scored, "model").join(scored.groupBy("model").agg(F.count(F.lit(1)).alias("n_scored")), "model")
+    kept = log.select("model", F.size("log_history").cast("bigint").alias("passes"), F.inline("log_history")).where(F.col("step") == model.epoch)
+    same = [F.abs(F.col(c) - F.col(f"eval_{c}")) < 1e-9 for c in ("accuracy", "precision", "recall", "f1")]
+    return (kept.join(best, "model").join(now, "model")
+            .select("passes", (F.col("best_step") == F.col("step")).alias("kept_is_first_best"),
+                    (same[0] & same[1] & same[2] & same[3]).alias("log_agrees_with_scores"), "n_scored"))
+
+
 @query("predict_scores")
 def q_predict_scores(spark, sf):
     """K5 + K9/K12: metrics of three fitted tree models on the same test split."""
