@@ -14,11 +14,15 @@ no list: its documents have rarer values of their own.
 
 No pairs per group. Exact copies (of the set) are one class from the start. In a
 list the class whose values are most often retained, mostly the text that others
-were copied from, is compared with all others; what links to it is connected.
-Only lists whose other members are still in different components go on, without
-that class; the last of them are compared in blocks of `BLOCK`, each pair of
-blocks a group of its own, across components only. So a group of near copies
-costs a row a member, and no partner is left out.
+were copied from, is its leader and is compared with all others. What shares 70 %
+with it is near, and what links to it is connected. Two near sets differ exactly
+where one of them alone differs from the leader, so the links among near members
+come from these short differences, in a task, of which only those that join
+something leave it. The Jaccard distance obeys the triangle inequality: what is not
+near cannot link with what links to the leader, which therefore leaves the list.
+Lists with open pairs go on with another leader; the last of them are compared in
+blocks of `BLOCK`, each pair of blocks a group of its own. So a group of near
+copies costs a row a member, and no partner is left out.
 
 Checks. The K smallest values of a pair's two sketches are a sketch of its union,
 whose share in both estimates the similarity and drops most candidates; the rest
@@ -45,6 +49,10 @@ from dxspark.llm.common import connected_components, stored, table
 
 SEED = 42
 K, SHARED = 64, 38
+#: per cent of the union; what shares less with a leader cannot link with what links
+#: to the leader (twice the distance of a link); and the sketch's bound for it, under
+#: which a pair of 70 % falls with a chance of 1e-8
+FAR, FAR_SHARED = 70, 24
 #: largest size of a set for which no linked partner has more than K shingles
 WHOLE = K * 85 // 100
 BLOCK = 4096
@@ -163,57 +171,78 @@ def rare_values(classes: DataFrame, percent: int) -> DataFrame:
             .select("cid", "n", "weight", F.explode("shared.v").alias("v")))
 
 
-def star_pairs(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Each list's leader against its other members in other components.
+def star_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each list's leader against its other members, where that is still open.
 
-    lists: (v, cid, n, weight, root). Returns (a, b) with a < b, each once, and
-    the lists without their leaders (without those that have one component left)."""
-    best = F.max_by(F.struct("cid", "n", "root"), F.struct("weight", -F.col("cid")))
+    lists: (v, cid, n, weight, root, seen). Returns the pairs (x, r), each once, and
+    the lists without their leaders, with the leader's number as `lead`."""
+    best = F.max_by(F.struct("cid", "n", "root", "seen"), F.struct("weight", -F.col("cid")))
     leaders = lists.groupBy("v").agg(best.alias("lead"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("v", "lead")
     met = stored(lists.join(leaders, "v").where(F.col("cid") != F.col("lead.cid")), "minhash_lists")
-    pairs = (met.where(sizes_fit(F.col("n"), F.col("lead.n"), percent) & (F.col("root") != F.col("lead.root")))
-             .select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b")).distinct())
-    return pairs, met.drop("lead")
+    open_ = (F.col("root") != F.col("lead.root")) & ~F.arrays_overlap("seen", "lead.seen")
+    pairs = met.where(open_ & sizes_fit(F.col("n"), F.col("lead.n"), FAR)).select(F.col("cid").alias("x"), F.col("lead.cid").alias("r")).distinct()
+    return pairs, met.withColumn("lead", F.col("lead.cid"))
 
 
-def open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The lists whose members `links` leave in different components."""
-    comps = connected_components(links.select("a", "b"))
-    rooted = lists.drop("root").join(comps.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rooted = stored(rooted, "minhash_rooted")
-    going = rooted.groupBy("v").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members")).where("least <> most")
-    return stored(rooted.join(going.select("v", "members"), "v"), "minhash_open")
+def near_leaders(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
+    """(x, r, n, linked, delta) of the pairs whose sets share `FAR` % or more:
+    whether they link, and the shingles that only one of the two has. Others are too
+    far from r to link with anything that r links to.
 
-
-def _across(rows: list[np.ndarray], sketches: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list's members, in different components, that share enough values."""
-    cid, root, n = rows
-    ids = np.unique(np.concatenate(sketches), return_inverse=True)[1]
-    sizes = np.array([len(s) for s in sketches])
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    least = np.where(n <= WHOLE, -(-n * percent // 100), SHARED)
-    here = np.zeros(ids.max() + 1, np.int64)
-    a, b = [], []
-    for i in range(len(cid)):
-        own = ids[starts[i]:starts[i] + sizes[i]]
+    pairs: (x, r). The union sketch drops most; the full sets decide."""
+    side = lambda c: classes.select(F.col("cid").alias(c), F.struct("n", "t", "sa", "sb").alias(f"{c}_of"), F.col("sketch").alias(f"{c}_sketch"))
+    both, union = F.array_intersect("x_sketch", "r_sketch"), F.slice(F.array_sort(F.array_union("x_sketch", "r_sketch")), 1, K)
+    nx, nr = F.col("x_of.n"), F.col("r_of.n")
+    alike = F.when((nx <= K) & (nr <= K), 100 * F.size(both) >= FAR * (nx + nr - F.size(both))).otherwise(F.size(F.array_intersect(union, both)) >= FAR_SHARED)
+    likely = stored(pairs.join(side("x"), "x").join(side("r"), "r").where(alike).select("x", "r", "x_of", "r_of"), "minhash_likely")
+    wanted = stored(likely.select("x_of.t").unionByName(likely.select("r_of.t")).distinct(), "minhash_wanted")
+    sets = stored(full_sets(docs, text_col, wanted, size), "minhash_sets")
+    of = lambda c: sets.select(F.struct("sa", "sb").alias(f"{c}_key"), F.col("set").alias(f"{c}_set"))
+    keyed = likely.withColumn("x_key", F.struct("x_of.sa", "x_of.sb")).withColumn("r_key", F.struct("r_of.sa", "r_of.sb"))
+    delta = F.array_union(F.array_except("x_set", "r_set"), F.array_except("r_set", "x_set"))
+    total, apart = F.size("x_set") + F.size("r_set"), F.size("delta")
+    within = lambda p: (100 - p) * total >= (100 + p) * apart
+    made = keyed.join(of("x"), "x_key").join(of("r"), "r_key").withColumn("delta", delta).where(within(FAR))
+    return stored(made.select("x", "r", F.size("x_set").cast("bigint").alias("n"), within(percent).alias("linked"), "delta").dropDuplicates(["x", "r"]), "minhash_near")
+
+
+def _tally(sets: list[np.ndarray]):
+    """A function: how many values set i shares with each set."""
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    here = np.zeros(ids.max() + 2 if len(ids) else 1, np.int64)
+
+    def shared(i: int) -> np.ndarray:
+        own = ids[ends[i] - sizes[i]:ends[i]]
         here[own] = 1
-        tally = np.add.reduceat(here[ids], starts)
+        sums = np.r_[0, np.cumsum(here[ids])]
         here[own] = 0
-        fit = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-        j = np.flatnonzero((tally >= np.maximum(least, least[i])) & fit & (root != root[i]) & (cid > cid[i]))
-        a.append(np.full(len(j), cid[i]))
-        b.append(cid[j])
-    return np.concatenate(a), np.concatenate(b)
+        return sums[ends] - sums[ends - sizes]
 
+    return shared
 
-def block_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of one list in different components that share enough of
-    their sketches. lists: (v, cid, n, root, members)."""
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    dealt = (lists.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "root", "n"))
-    rows = dealt.join(classes.select("cid", "sketch"), "cid").select("v", "i", "j", "cid", "root", "n", "sketch")
+
+def _spanning(cid: np.ndarray, n: np.ndarray, linked: np.ndarray, deltas: list[np.ndarray], percent: int) -> tuple[list, list]:
+    """Links that join what links among a leader's near members; those that link
+    to the leader are joined already. Two sets differ where just one differs from
+    the leader."""
+    sizes, shared = np.array([len(x) for x in deltas]), _tally(deltas)
+    root = np.where(linked, -1, np.arange(len(cid)))
+    a, b = [], []
+    for i in np.flatnonzero(~linked):
+        apart = sizes + sizes[i] - 2 * shared(i)
+        for j in np.flatnonzero(((100 - percent) * (n + n[i]) >= (100 + percent) * apart) & (root != root[i])):
+            if root[j] != root[i]:
+                a.append(cid[i])
+                b.append(cid[j])
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return a, b
+
+
+def _in_blocks(rows: DataFrame, keys: list[str], work, out: str) -> DataFrame:
+    """`work(rows of one key)` -> two lists, for every run of rows with equal keys."""
+    k = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -221,46 +250,87 @@ def block_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
         def flush() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                first = {r[0]: r for r in held}  # a block against itself brings a member once
-                cid, root, n = (np.array([r[k] for r in first.values()], np.int64) for k in range(3))
-                a, b = _across([cid, root, n], [r[3] for r in first.values()], percent)
+                a, b = work(list({r[0]: r for r in held}.values()))  # a block against itself brings a member once
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(v, np.int64)) for v in (a, b)], ["a", "b"])
 
         for batch in batches:
-            sketches = batch.column(6)
-            flat, at = sketches.values.to_numpy(), sketches.offsets.to_numpy()
-            cols = [c.to_pylist() for c in batch.columns[:6]]
-            for k in range(batch.num_rows):
-                now = (cols[0][k], cols[1][k], cols[2][k])
-                if now != key:
+            cols = [c.to_pylist() if not pa.types.is_list(c.type) else [x.values.to_numpy() for x in c] for c in batch.columns]
+            for row in zip(*cols, strict=True):
+                if row[:k] != key:
                     yield from flush()
-                    held, key = [], now
-                held.append((cols[3][k], cols[4][k], cols[5][k], flat[at[k]:at[k + 1]]))
+                    held, key = [], row[:k]
+                held.append(row[k:])
         yield from flush()
 
-    return rows.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: those whose union sketch is like enough, and
-    whose full sets then are. classes: (cid, t, n, sa, sb, sketch)."""
-    side = lambda c: classes.select(F.col("cid").alias(c), F.struct("n", "t", "sa", "sb").alias(f"{c}_of"), F.col("sketch").alias(f"{c}_sketch"))
-    both, union = F.array_intersect("a_sketch", "b_sketch"), F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, K)
-    na, nb = F.col("a_of.n"), F.col("b_of.n")
-    exact = (na <= K) & (nb <= K)
-    alike = F.when(exact, 100 * F.size(both) >= percent * (na + nb - F.size(both))).otherwise(F.size(F.array_intersect(union, both)) >= SHARED)
-    likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b", "a_of", "b_of", exact.alias("exact")), "minhash_likely")
-    open_ = likely.where("NOT exact")
-    ends = open_.select(F.col("a_of").alias("x")).unionByName(open_.select(F.col("b_of").alias("x")))
-    wanted = stored(ends.select("x.t").distinct(), "minhash_wanted")
-    sets = stored(full_sets(docs, text_col, wanted, size), "minhash_sets")
-    of = lambda c: sets.select(F.struct("sa", "sb").alias(f"{c}_key"), F.col("set").alias(f"{c}_set"))
-    keyed = open_.withColumn("a_key", F.struct("a_of.sa", "a_of.sb")).withColumn("b_key", F.struct("b_of.sa", "b_of.sb"))
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    held = (keyed.join(of("a"), "a_key").join(of("b"), "b_key")
-            .where(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b"))
-    return stored(likely.where("exact").select("a", "b").unionByName(held).distinct(), "minhash_links")
+def delta_links(near: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between near members of one leader, of which at least one does
+    not link to it. A leader's members are dealt into blocks, those that link apart
+    from those that don't, and each pair of blocks with one that don't is a group."""
+    counts = near.groupBy("r").agg(F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("members")).where("open > 0 AND members > 1")
+    u, m = F.ceil(F.col("open") / BLOCK).cast("int"), F.ceil((F.col("members") - F.col("open")) / BLOCK).cast("int")
+    rows = near.join(counts.select("r", u.alias("u"), m.alias("m")), "r")
+    h = F.xxhash64("x")
+    own = F.when(F.col("linked"), F.col("u") + F.pmod(h, F.greatest("m", F.lit(1)))).otherwise(F.pmod(h, F.col("u"))).cast("int")
+    others = F.when(F.col("linked"), F.sequence(F.lit(0), F.col("u") - 1)).otherwise(F.sequence(F.lit(0), F.col("u") + F.col("m") - 1))
+    dealt = (rows.withColumn("own", own).withColumn("other", F.explode(others))
+             .select("r", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("x").alias("cid"), "n", "linked", "delta"))
+
+    def work(rows: list[tuple]) -> tuple[list, list]:
+        cid, n, linked = (np.array([r[k] for r in rows]) for k in range(3))
+        return _spanning(cid, n, linked, [r[3] for r in rows], percent)
+
+    return _in_blocks(dealt, ["r", "i", "j"], work, "a bigint, b bigint")
+
+
+def open_lists(met: DataFrame, near: DataFrame, seen: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists with pairs that no leader has decided: without the leader and what
+    links to it, and only while members are in different components and no leader
+    is near to all of them. seen: (x, r) of all rounds."""
+    comps = connected_components(links.select("a", "b"))
+    gone = near.where("linked").select(F.col("x").alias("cid"), F.col("r").alias("lead"), F.lit(True).alias("gone"))
+    kept = met.join(gone, ["cid", "lead"], "left").where("gone IS NULL").drop("gone", "lead", "seen", "root", "members")
+    leads = seen.groupBy(F.col("x").alias("cid")).agg(F.collect_set("r").alias("seen"))
+    rooted = (kept.join(comps.select(F.col("node").alias("cid"), "root"), "cid", "left").join(leads, "cid", "left")
+              .withColumn("root", F.coalesce("root", "cid")).withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>"))))
+    rooted = stored(rooted, "minhash_rooted")
+    going = rooted.groupBy("v").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members")).where("least <> most")
+    near_all = rooted.select("v", F.explode("seen").alias("r")).groupBy("v", "r").agg(F.count("*").alias("members")).groupBy("v").agg(F.max("members").alias("near_all"))
+    going = going.join(near_all, "v", "left").where("near_all IS NULL OR near_all < members").select("v", "members")
+    return stored(rooted.join(going, "v"), "minhash_open")
+
+
+def _across(cid: np.ndarray, root: np.ndarray, n: np.ndarray, seen: list[set], sketches: list[np.ndarray], percent: int) -> tuple[list, list]:
+    """Pairs of a list's members, in different components and near no common
+    leader, that share enough values."""
+    least, shared = np.where(n <= WHOLE, -(-n * percent // 100), SHARED), _tally(sketches)
+    a, b = [], []
+    for i in range(len(cid)):
+        fit = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+        for j in np.flatnonzero(fit & (root != root[i]) & (cid > cid[i]) & (shared(i) >= np.maximum(least, least[i]))):
+            if not (seen[i] and seen[j] and seen[i] & seen[j]):
+                a.append(cid[i])
+                b.append(cid[j])
+    return a, b
+
+
+def block_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(x, r): members of one list in different components, near no common leader,
+    that share enough of their sketches. lists: (v, cid, n, root, seen, members)."""
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
+    dealt = (lists.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "root", "n", "seen"))
+    rows = dealt.join(classes.select("cid", "sketch"), "cid").select("v", "i", "j", "cid", "root", "n", "seen", "sketch")
+
+    def work(rows: list[tuple]) -> tuple[list, list]:
+        cid, root, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        return _across(cid, root, n, [set(r[3].tolist()) for r in rows], [r[4] for r in rows], percent)
+
+    return _in_blocks(rows, ["v", "i", "j"], work, "a bigint, b bigint").select(F.col("a").alias("x"), F.col("b").alias("r")).distinct()
 
 
 def minhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, rounds: int = 4) -> DataFrame:
@@ -275,18 +345,20 @@ def minhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stored(marks.where("n > 0").groupBy(*key).agg(F.min("row").alias("cid"), F.min("id").alias("least_id")), "minhash_classes")
     classes = stored(marks.join(named.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid").drop("id"), "minhash_sketches")
 
-    lists = rare_values(classes, percent).withColumn("root", F.col("cid"))
-    pairs, lists = star_pairs(stored(lists, "minhash_values"), percent)
-    links = confirmed(pairs, classes, docs, text_col, size, percent)
-    rest = open_lists(lists, links)
-    for _ in range(rounds - 1):
+    lists = rare_values(classes, percent).withColumn("root", F.col("cid")).withColumn("seen", F.array().cast("array<bigint>"))
+    rest, seen, links = stored(lists, "minhash_values"), None, None
+    for k in range(rounds):
+        pairs, met = star_pairs(rest)
+        near = near_leaders(pairs, classes, docs, text_col, size, percent)
+        found = near.where("linked").select(F.col("x").alias("a"), F.col("r").alias("b")).unionByName(stored(delta_links(near, percent), "minhash_delta"))
+        links = links.unionByName(found) if links else found
+        both = near.select("x", "r").unionByName(near.select(F.col("r").alias("x"), "r").distinct())
+        seen = seen.unionByName(both) if seen else both
+        rest = open_lists(met, near, seen, links)
         if not rest.where(F.col("members") > LONG).take(1):
             break
-        pairs, lists = star_pairs(rest.drop("members"), percent)
-        links = links.unionByName(confirmed(pairs, classes, docs, text_col, size, percent))
-        rest = open_lists(lists, links)
-    last = stored(block_pairs(rest, classes, percent), "minhash_last")
-    links = links.unionByName(confirmed(last, classes, docs, text_col, size, percent))
+    last = near_leaders(stored(block_pairs(rest, classes, percent), "minhash_last"), classes, docs, text_col, size, percent)
+    links = links.unionByName(last.where("linked").select(F.col("x").alias("a"), F.col("r").alias("b")))
 
     roots = connected_components(links.select("a", "b")).select(F.col("node").alias("cid"), "root")
     rooted = stored(named.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "minhash_rooted")
