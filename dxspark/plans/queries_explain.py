@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from functools import reduce
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dxspark.operators import explain as L
 from dxspark.operators import models as M
 from dxspark.operators import textexplain as L2
+from dxspark.operators import treeshap as S
 from dxspark.operators.agg import sample_n
 from dxspark.plans.fixtures import fx
 from dxspark.plans.queries_agg import DIAG_COLS
-from dxspark.plans.queries_models import text_model
+from dxspark.plans.queries_models import TEST_VISITS_SQL, _boosted, coded_data, text_model
 from dxspark.plans.registry import query
 
 N_SAMPLES, TOP = 500, 20
@@ -88,15 +92,62 @@ def q_importance_matrix(spark, sf):
 
 # ------------------------------------------------------------ model-based (R)
 
+def _explained_forest(d):
+    return M.fit_random_forest(d.where("split = 'train'"), None, num_trees=50, max_depth=10)
+
+
 @query("shapley_sampling")
 def q_shapley_sampling(spark, sf):
-    from dxspark.plans.queries_models import model_data
-    d = model_data(spark, sf)
+    """Sampled values, for any model: each (row, permutation) draws a background row."""
+    d = coded_data(spark, sf)
+    model = _explained_forest(d)
+    wide = d.select("visit_id", "split", *[F.col("x")[k].alias(c) for k, c in enumerate(DIAG_COLS)])
+    background = sample_n(wide.where("split = 'train'"), "visit_id", 50, seed=42)
+    out = L.shapley_sampling(_FromColumns(model), wide.where("split = 'test'"), "visit_id", DIAG_COLS, background, n_perm=8)
+    d.unpersist()
+    return out
+
+
+class _FromColumns:
+    """A fitted model over `features`, applied to the columns that make them."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def transform(self, df):
+        return self.model.transform(df.withColumn("features", array_to_vector(F.array(*DIAG_COLS))))
+
+
+def _exact(spark, sf):
+    """Exact values of the test rows: a forest's probability, and the margin of the
+    chosen boosted model at its full length."""
+    d = coded_data(spark, sf)
     train, test = d.where("split = 'train'"), d.where("split = 'test'")
-    model = M.fit_random_forest(train, DIAG_COLS, num_trees=50, max_depth=10)
+    forest, boosted = _explained_forest(d), _boosted(train, "codigos", "GradientBoostingClassifier")
     d.unpersist()
-    background = sample_n(train, "visit_id", 50, seed=42)  # the reference's background sample
-    return L.shapley_sampling(model, test, "visit_id", DIAG_COLS, background, n_perm=8)
+    for name, nodes, score in (("random_forest", S.node_table(forest), vector_to_array(F.col("probability"))[1]),
+                               ("gradient_boosting", boosted.attribution_nodes(), F.col("margin") - boosted.base[0])):
+        model = forest if name == "random_forest" else boosted
+        scored = model.transform(test).select("visit_id", score.alias("f"))
+        yield S.tree_shap(test, "visit_id", "x", DIAG_COLS, nodes).withColumn("model", F.lit(name)), scored.withColumn("model", F.lit(name))
+
+
+@query("shapley_exact")
+def q_shapley_exact(spark, sf):
+    return reduce(DataFrame.unionByName, [v for v, _ in _exact(spark, sf)]).select("model", "visit_id", "feature", "value")
+
+
+@query("shapley_exact_check", f"""
+SELECT m.model, t.visit_id, CAST({len(DIAG_COLS)} AS BIGINT) AS n_features, true AS sums_to_score, true AS score_is_the_models
+FROM {TEST_VISITS_SQL} t CROSS JOIN (VALUES ('random_forest'), ('gradient_boosting')) m(model)""")
+def q_shapley_exact_check(spark, sf):
+    """A row's values sum to f(row) - mean f, and f is what the model gives."""
+    parts = list(_exact(spark, sf))
+    values, scored = (reduce(DataFrame.unionByName, [p[k] for p in parts]) for k in (0, 1))
+    each = values.groupBy("model", "visit_id").agg(F.count(F.lit(1)).alias("n_features"), F.sum("value").alias("sum"), F.first("score").alias("score"), F.first("base").alias("base"))
+    near = lambda a, b: F.abs(a - b) < 1e-9
+    return each.join(scored, ["model", "visit_id"]).select(
+        "model", "visit_id", "n_features", near(F.col("sum"), F.col("score") - F.col("base")).alias("sums_to_score"), near(F.col("score"), F.col("f")).alias("score_is_the_models"))
 
 
 @query("token_occlusion")

@@ -7,16 +7,23 @@ schema, row counts)."""
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Mapping
+from functools import reduce
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dxspark.operators import boosting as B
 from dxspark.operators import features as J
 from dxspark.operators import metrics as K
 from dxspark.operators import models as M
 from dxspark.operators import textmodel as T
+from dxspark.operators import treeshap as S
 from dxspark.plans.fixtures import fx
 from dxspark.plans.queries_agg import DIAG_COLS
+from dxspark.plans.queries_codes import BINARY_BASE
 from dxspark.plans.queries_reshape import LANGS
 from dxspark.plans.registry import query
 from dxspark.session import scratch_path
@@ -207,42 +214,152 @@ def q_export_metrics(spark, sf):
 
 # ------------------------------------------------------------ fitted models (R)
 
-def model_data(spark, sf):
-    """Binary coded dataset (codes variant of I9) with label 1 = F20.89 and a
-    stratified 70/30 split."""
+#: the test rows of `coded_data` in SQL
+TEST_VISITS_SQL = """(SELECT visit_id, label FROM (
+  SELECT visit_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || CAST(visit_id AS VARCHAR)), visit_id) AS r,
+         ceil(count(*) OVER (PARTITION BY label) * 0.3) AS cut
+  FROM (SELECT visit_id, CAST(regexp_matches(psq, 'F20.89') AS INTEGER) AS label FROM BINARY_BASE b) l) s WHERE r <= cut)""".replace("BINARY_BASE", BINARY_BASE)
+
+
+def coded_data(spark, sf, variant: str = "codes"):
+    """A variant of the binary dataset (I9) with label 1 = F20.89, a stratified
+    70/30 split, and its columns as label numbers (J1): `x` and `features`."""
     from dxspark.operators.codes import build_binary_dataset
-    base = build_binary_dataset(fx(spark, sf, "fx_diag_wide"), "visit_id", DIAG_COLS, "psq",
-                                fx(spark, sf, "fx_crosswalk"), variant="codes")
-    # written once: the split, fitting and scoring all read it
-    data = base.withColumn("label", F.col("psq").rlike("F20.89").cast("double")).checkpoint()
-    # fitting scans the table once per tree level / boosting round
+    base = build_binary_dataset(fx(spark, sf, "fx_diag_wide"), "visit_id", DIAG_COLS, "psq", fx(spark, sf, "fx_crosswalk"), variant=variant)
+    if variant == "codes":
+        base = base.withColumn("label", F.col("psq").rlike("F20.89").cast("double"))
+    else:  # the target is described there: the label is that of the visit's code
+        codes = fx(spark, sf, "fx_visits").select("visit_id", F.col("psq").rlike("F20.89").cast("double").alias("label"))
+        base = base.join(codes, "visit_id")
+    data = M.encode_codes(base.checkpoint(), "visit_id", DIAG_COLS).select("visit_id", "label", "x", "features").checkpoint()
     return J.split_stratified(data, "visit_id", "label", 0.3, 42).persist()
 
 
+def _forest(train, dataset: str):
+    """The chosen forest of a dataset: balanced class weights, full depth."""
+    p = M.TREE_PARAMS[dataset]["RandomForestClassifier"]
+    weighted = J.class_weights(train, "label").persist()
+    model = M.fit_random_forest(weighted, None, num_trees=p["n_estimators"], max_depth=p["max_depth"], impurity=p["criterion"],
+                                feature_subset=p["max_features"], weight="weight")
+    weighted.unpersist()
+    return model
+
+
+def _boosted(train, dataset: str, name: str):
+    return B.fit_boosted(train, "visit_id", "x", "label", B.booster(name, M.TREE_PARAMS[dataset][name]))
+
+
 @query("fit_random_forest")
 def q_fit_random_forest(spark, sf):
-    d = model_data(spark, sf)
-    model = M.fit_random_forest(d.where("split = 'train'"), DIAG_COLS, num_trees=100, max_depth=10)
+    d = coded_data(spark, sf)
+    model = _forest(d.where("split = 'train'"), "codigos")
     d.unpersist()  # fitted; scoring re-reads the checkpointed rows lazily
     return M.predict_scores(model, d.where("split = 'test'"), ["visit_id"])
 
 
 @query("fit_decision_tree")
 def q_fit_decision_tree(spark, sf):
-    d = model_data(spark, sf)
-    model = M.fit_decision_tree(d.where("split = 'train'"), DIAG_COLS, max_depth=5)
+    d = coded_data(spark, sf)
+    model = M.fit_decision_tree(d.where("split = 'train'"), None, max_depth=5)
     d.unpersist()
     return M.predict_scores(model, d.where("split = 'test'"), ["visit_id"])
 
 
+@query("fit_decision_tree_check", f"""
+SELECT visit_id, label AS y, true AS score_in_range, true AS score_is_a_leafs FROM {TEST_VISITS_SQL} t""")
+def q_fit_decision_tree_check(spark, sf):
+    """The scored keys and labels; every score is the share of class 1 in a leaf."""
+    d = coded_data(spark, sf)
+    model = M.fit_decision_tree(d.where("split = 'train'"), None, max_depth=5)
+    d.unpersist()
+    leaves = S.node_table(model).where("left < 0").select(F.round("value", 9).alias("_leaf")).distinct()
+    s = M.predict_scores(model, d.where("split = 'test'"), ["visit_id"])
+    return (s.join(leaves, F.round("score", 9) == F.col("_leaf"), "left")
+            .select("visit_id", "y", F.col("score").between(0, 1).alias("score_in_range"), F.col("_leaf").isNotNull().alias("score_is_a_leafs")))
+
+
 @query("fit_gradient_boosting")
 def q_fit_gradient_boosting(spark, sf):
-    d = model_data(spark, sf)
-    model = M.fit_gradient_boosting(d.where("split = 'train'"), DIAG_COLS, "label", "gradient_boosting", maxIter=30)
+    d = coded_data(spark, sf)
+    model = _boosted(d.where("split = 'train'"), "codigos", "GradientBoostingClassifier")
     d.unpersist()
     return M.predict_scores(model, d.where("split = 'test'"), ["visit_id"])
 
 
+BOOSTED = ("GradientBoostingClassifier", "XGBClassifier")
+VARIANTS = {"codigos": "codes", "descripciones": "descriptions", "combinado": "combined"}
+
+
+def _boosted_sets(spark, sf):
+    """Every boosted parameter set at its full length on its dataset: (dataset, rows
+    with a split, settings by name, model whose fits are in that order)."""
+    for dataset, variant in VARIANTS.items():
+        d = coded_data(spark, sf, variant)
+        sets = {name: B.booster(name, M.TREE_PARAMS[dataset][name]) for name in BOOSTED}
+        model = B.boost_many(d.where("split = 'train'"), "visit_id", "x", "label", list(sets.values()))
+        d.unpersist()
+        yield dataset, d, sets, model
+
+
+@query("boosted_models")
+def q_boosted_models(spark, sf):
+    """Metrics of every boosted parameter set on the test rows of its dataset."""
+    scored = []
+    for dataset, d, sets, model in _boosted_sets(spark, sf):
+        for k, name in enumerate(sets):
+            s = M.predict_scores(_Fit(model, k), d.where("split = 'test'"), ["visit_id"])
+            scored.append(s.withColumn("model", F.lit(f"{dataset} {name}")))
+    return K.metric_table(reduce(DataFrame.unionByName, scored), "model")
+
+
+class _Fit:
+    """One of a model's fits."""
+
+    def __init__(self, model, fit: int):
+        self.model, self.fit = model, fit
+
+    def transform(self, df):
+        return self.model.transform(df, self.fit)
+
+
+def _rounds_sql() -> str:
+    rows = ", ".join(f"('{d}', '{n}', {M.TREE_PARAMS[d][n]['n_estimators']})" for d in VARIANTS for n in BOOSTED)
+    return f"(VALUES {rows}) v(dataset, model, trees)"
+
+
+@query("boosted_models_check", f"""
+SELECT v.dataset, v.model, CAST(v.trees AS BIGINT) AS trees, t.n AS n_scored, true AS sums_add_up, true AS leaves_are_newton_steps,
+       true AS splits_keep_limits, true AS margins_are_sums_of_leaves
+FROM {_rounds_sql()} CROSS JOIN (SELECT count(*) AS n FROM {TEST_VISITS_SQL} t) t""")
+def q_boosted_models_check(spark, sf):
+    """What holds for the trees of every set: a node's sums are those of its
+    children, a leaf's value follows from its sums, no split breaks its limits, and
+    a row's margin is the start plus the values of the leaves whose path it fits."""
+    out = []
+    for dataset, d, sets, model in _boosted_sets(spark, sf):
+        test = d.where("split = 'test'")
+        for k, (name, p) in enumerate(sets.items()):
+            t = model.nodes.where(F.col("fit") == k)
+            kids = t.select("tree", F.col("node").alias("_n"), F.col("g").alias("_g"), F.col("h").alias("_h"), F.col("cover").alias("_c"))
+            inner = t.where("left >= 0").join(kids, "tree").where("_n = left OR _n = right").groupBy("tree", "node").agg(
+                F.first("g").alias("g"), F.sum("_g").alias("g2"), F.first("h").alias("h"), F.sum("_h").alias("h2"), F.first("cover").alias("c"),
+                F.sum("_c").alias("c2"), F.min("_c").alias("least"), F.min("_h").alias("least_h"), F.first("gain").alias("gain"))
+            near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-6
+            limits = (F.col("gain") > 0) & (F.col("least") >= p.leaf_rows) & (F.col("least_h") >= p.child_weight - 1e-9) & (F.col("c") >= p.split_rows)
+            sums = inner.agg(F.min(near("g", "g2") & near("h", "h2") & near("c", "c2")).alias("sums_add_up"), F.min(limits).alias("splits_keep_limits"))
+            step = -p.rate * F.col("g") / (F.col("h") + p.l2)
+            leaves = t.where("left < 0").agg(F.min(F.abs(F.col("value") - step) < 1e-9).alias("leaves_are_newton_steps"))
+            paths = S.tree_scores(test, "visit_id", "x", model.attribution_nodes(k))
+            scored = model.transform(test, k).join(paths, "visit_id")
+            margins = scored.agg(F.count(F.lit(1)).alias("n_scored"), F.min(F.abs(F.col("margin") - F.col("f") - model.base[k]) < 1e-9).alias("margins_are_sums_of_leaves"))
+            trees = t.agg(F.countDistinct("tree").alias("trees"))
+            out.append(trees.crossJoin(margins).crossJoin(sums).crossJoin(leaves)  # one row each
+                       .select(F.lit(dataset).alias("dataset"), F.lit(name).alias("model"), "trees", "n_scored",
+                               F.coalesce("sums_add_up", F.lit(True)).alias("sums_add_up"), "leaves_are_newton_steps",
+                               F.coalesce("splits_keep_limits", F.lit(True)).alias("splits_keep_limits"), "margins_are_sums_of_leaves"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def text_model(spark, sf):
     """The labelled texts with a stratified 80/20 split, and the classifier that
     five passes over the training part give."""
@@ -302,27 +419,55 @@ def q_text_training_check(spark, sf):
 
 @query("predict_scores")
 def q_predict_scores(spark, sf):
-    """K5 + K9/K12: metrics of three fitted tree models on the same test split."""
-    d = model_data(spark, sf)
+    """K5 + K9/K12: metrics of the fitted tree models on the same test split."""
+    d = coded_data(spark, sf)
     train, test = d.where("split = 'train'"), d.where("split = 'test'")
-    fits = {"random_forest": M.fit_random_forest(train, DIAG_COLS, num_trees=50, max_depth=10),
-            "decision_tree": M.fit_decision_tree(train, DIAG_COLS),
-            "gradient_boosting": M.fit_gradient_boosting(train, DIAG_COLS, maxIter=20)}
+    fits = {"random_forest": _forest(train, "codigos"),
+            "decision_tree": M.fit_decision_tree(train, None),
+            "gradient_boosting": _boosted(train, "codigos", "GradientBoostingClassifier"),
+            "xgboost": _boosted(train, "codigos", "XGBClassifier")}
     d.unpersist()
-    scored = None
-    for name, m in fits.items():
-        s = M.predict_scores(m, test, ["visit_id"]).withColumn("model", F.lit(name))
-        scored = s if scored is None else scored.unionByName(s)
-    return K.metric_table(scored, "model")
+    scored = [M.predict_scores(m, test, ["visit_id"]).withColumn("model", F.lit(name)) for name, m in fits.items()]
+    return K.metric_table(reduce(DataFrame.unionByName, scored), "model")
 
 
-@query("grid_search")
-def q_grid_search(spark, sf):
-    d = model_data(spark, sf)
+# the part of the grid that the query runs: all rates, depths and rounds at the chosen node limits
+GRID_PART = {"min_samples_split": 10, "min_samples_leaf": 2, "subsample": 1.0, "max_features": None}
+
+
+def grid_candidates(part: Mapping | None = None) -> list[tuple[int, str, dict]]:
+    """The candidates of GB_GRID in the order of `param_grid` (K7), or those of a part."""
+    keys = sorted(GB_GRID)
+    every = enumerate(itertools.product(*[GB_GRID[k] for k in keys]))
+    named = [(k, "GradientBoostingClassifier", dict(zip(keys, values, strict=True))) for k, values in every]
+    return [c for c in named if all(c[2][k] == v for k, v in (part or {}).items())]
+
+
+def _grid_results(spark, sf):
+    d = coded_data(spark, sf)
     train = J.kfold_assign(d.where("split = 'train'").drop("split"), "visit_id", "label", 5, 42)
-    _, results = M.grid_search(train, DIAG_COLS, {"numTrees": [20, 50], "maxDepth": [5, 10]}, "label", "fold")
+    out = B.grid_search(train, "visit_id", "x", "label", "fold", grid_candidates(GRID_PART), scratch_path(spark, "grid"))
     d.unpersist()
-    return results
+    return out
+
+
+@query("grid_search")
+def q_grid_search(spark, sf):
+    """K6: mean f1 of each candidate over its folds, best first in `place`."""
+    mean = _grid_results(spark, sf).groupBy("candidate_id").agg(F.avg("f1").alias("mean_f1"), F.count(F.lit(1)).alias("folds"))
+    grid = K.param_grid(spark, GB_GRID)
+    better = Window.orderBy(F.round("mean_f1", 9).desc(), "candidate_id")  # one row a candidate
+    return mean.join(grid, "candidate_id").withColumn("place", F.row_number().over(better))
+
+
+@query("grid_search_check", f"""
+SELECT CAST(candidate_id AS BIGINT) AS candidate_id, CAST(count(*) AS BIGINT) AS folds, true AS f1_in_range FROM ({_grid_sql()}) g
+WHERE min_samples_split = '10' AND min_samples_leaf = '2' AND subsample = '1.0' AND max_features IS NULL GROUP BY candidate_id""")
+def q_grid_search_check(spark, sf):
+    """Every candidate of the part with each fold once, under its number in K7's table."""
+    grid = K.param_grid(spark, GB_GRID).where("min_samples_split = '10' AND min_samples_leaf = '2' AND subsample = '1.0' AND max_features IS NULL")
+    found = _grid_results(spark, sf).groupBy("candidate_id").agg(F.countDistinct("fold").alias("folds"), F.min(F.col("f1").between(0, 1)).alias("f1_in_range"))
+    return grid.select("candidate_id").join(found, "candidate_id", "left")
 
 
 @query("best_model_per_metric", f"""
