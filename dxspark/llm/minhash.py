@@ -14,9 +14,9 @@ no list: its documents have rarer values of their own.
 
 No pairs per group. Exact copies (of the set) are one class from the start. In a
 list the class whose values are most often retained, mostly the text that others
-were copied from, is its leader and is compared with all others. What shares 70 %
+were copied from, is its leader and is compared with all others. What shares much
 with it is near, and what links to it is connected. Two near sets differ exactly
-where one of them alone differs from the leader, so the links among near members
+where just one of them differs from the leader, so the links among near members
 come from these short differences, in a task, of which only those that join
 something leave it. The Jaccard distance obeys the triangle inequality: what is not
 near cannot link with what links to the leader, which therefore leaves the list.
@@ -49,15 +49,15 @@ from dxspark.llm.common import connected_components, stored, table
 
 SEED = 42
 K, SHARED = 64, 38
-#: per cent of the union; what shares less with a leader cannot link with what links
-#: to the leader (twice the distance of a link); and the sketch's bound for it, under
-#: which a pair of 70 % falls with a chance of 1e-8
-FAR, FAR_SHARED = 70, 24
+#: near a leader: so many of the K smallest of the union are shared, and so many per
+#: cent of all. What shares under 70 % with a leader cannot link with what links to
+#: the leader (twice the distance of a link); of such pairs the sketch drops one in 1e8
+FAR_SHARED, FAR = 24, 40
 #: largest size of a set for which no linked partner has more than K shingles
 WHOLE = K * 85 // 100
 BLOCK = 4096
 #: lists longer than this get another leader before they are compared in blocks
-LONG = 64
+LONG = 1024
 #: text hashes, 16 bytes each, that are sent to every task at most
 BROADCAST_KEYS = 1_000_000
 #: word hashes that a task keeps at hand
@@ -174,20 +174,18 @@ def rare_values(classes: DataFrame, percent: int) -> DataFrame:
 def star_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each list's leader against its other members, where that is still open.
 
-    lists: (v, cid, n, weight, root, seen). Returns the pairs (x, r), each once, and
+    lists: (v, cid, n, weight, seen). Returns the pairs (x, r), each once, and
     the lists without their leaders, with the leader's number as `lead`."""
-    best = F.max_by(F.struct("cid", "n", "root", "seen"), F.struct("weight", -F.col("cid")))
-    leaders = lists.groupBy("v").agg(best.alias("lead"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("v", "lead")
+    best = F.max_by(F.struct("cid", "n", "seen"), F.struct("weight", -F.col("cid")))
+    leaders = lists.groupBy("v").agg(best.alias("lead"), F.count("*").alias("members")).where("members > 1").select("v", "lead")
     met = stored(lists.join(leaders, "v").where(F.col("cid") != F.col("lead.cid")), "minhash_lists")
-    open_ = (F.col("root") != F.col("lead.root")) & ~F.arrays_overlap("seen", "lead.seen")
-    pairs = met.where(open_ & sizes_fit(F.col("n"), F.col("lead.n"), FAR)).select(F.col("cid").alias("x"), F.col("lead.cid").alias("r")).distinct()
+    pairs = met.where(~F.arrays_overlap("seen", "lead.seen") & sizes_fit(F.col("n"), F.col("lead.n"), FAR)).select(F.col("cid").alias("x"), F.col("lead.cid").alias("r")).distinct()
     return pairs, met.withColumn("lead", F.col("lead.cid"))
 
 
 def near_leaders(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
-    """(x, r, n, linked, delta) of the pairs whose sets share `FAR` % or more:
-    whether they link, and the shingles that only one of the two has. Others are too
-    far from r to link with anything that r links to.
+    """(x, r, n, linked, delta) of the pairs that are near: whether they link, and
+    the shingles that only one of the two has.
 
     pairs: (x, r). The union sketch drops most; the full sets decide."""
     side = lambda c: classes.select(F.col("cid").alias(c), F.struct("n", "t", "sa", "sb").alias(f"{c}_of"), F.col("sketch").alias(f"{c}_sketch"))
@@ -286,31 +284,27 @@ def delta_links(near: DataFrame, percent: int) -> DataFrame:
     return _in_blocks(dealt, ["r", "i", "j"], work, "a bigint, b bigint")
 
 
-def open_lists(met: DataFrame, near: DataFrame, seen: DataFrame, links: DataFrame) -> DataFrame:
+def open_lists(met: DataFrame, near: DataFrame, seen: DataFrame) -> DataFrame:
     """The lists with pairs that no leader has decided: without the leader and what
-    links to it, and only while members are in different components and no leader
-    is near to all of them. seen: (x, r) of all rounds."""
-    comps = connected_components(links.select("a", "b"))
+    links to it, and only while no leader is near to all members. seen: (x, r) of
+    all rounds."""
     gone = near.where("linked").select(F.col("x").alias("cid"), F.col("r").alias("lead"), F.lit(True).alias("gone"))
-    kept = met.join(gone, ["cid", "lead"], "left").where("gone IS NULL").drop("gone", "lead", "seen", "root", "members")
+    kept = met.join(gone, ["cid", "lead"], "left").where("gone IS NULL").drop("gone", "lead", "seen", "members")
     leads = seen.groupBy(F.col("x").alias("cid")).agg(F.collect_set("r").alias("seen"))
-    rooted = (kept.join(comps.select(F.col("node").alias("cid"), "root"), "cid", "left").join(leads, "cid", "left")
-              .withColumn("root", F.coalesce("root", "cid")).withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>"))))
-    rooted = stored(rooted, "minhash_rooted")
-    going = rooted.groupBy("v").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members")).where("least <> most")
-    near_all = rooted.select("v", F.explode("seen").alias("r")).groupBy("v", "r").agg(F.count("*").alias("members")).groupBy("v").agg(F.max("members").alias("near_all"))
-    going = going.join(near_all, "v", "left").where("near_all IS NULL OR near_all < members").select("v", "members")
-    return stored(rooted.join(going, "v"), "minhash_open")
-
-
-def _across(cid: np.ndarray, root: np.ndarray, n: np.ndarray, seen: list[set], sketches: list[np.ndarray], percent: int) -> tuple[list, list]:
-    """Pairs of a list's members, in different components and near no common
-    leader, that share enough values."""
+    now = stored(kept.join(leads, "cid", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>"))), "minhash_now")
+    each = now.groupBy("v").agg(F.count("*").alias("members")).where("members > 1")
+    near_all = now.select("v", F.explode("seen").alias("r")).groupBy("v", "r").agg(F.count("*").alias("k")).groupBy("v").agg(F.max("k").alias("near_all"))
+    going = each.join(near_all, "v", "left").where("near_all IS NULL OR near_all < members").select("v", "members")
+    return stored(now.join(going, "v"), "minhash_open")
+
+
+def _across(cid: np.ndarray, n: np.ndarray, seen: list[set], sketches: list[np.ndarray], percent: int) -> tuple[list, list]:
+    """Pairs of a list's members, near no common leader, that share enough values."""
     least, shared = np.where(n <= WHOLE, -(-n * percent // 100), SHARED), _tally(sketches)
     a, b = [], []
     for i in range(len(cid)):
         fit = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-        for j in np.flatnonzero(fit & (root != root[i]) & (cid > cid[i]) & (shared(i) >= np.maximum(least, least[i]))):
+        for j in np.flatnonzero(fit & (cid > cid[i]) & (shared(i) >= np.maximum(least, least[i]))):
             if not (seen[i] and seen[j] and seen[i] & seen[j]):
                 a.append(cid[i])
                 b.append(cid[j])
@@ -318,22 +312,22 @@ def _across(cid: np.ndarray, root: np.ndarray, n: np.ndarray, seen: list[set], s
 
 
 def block_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(x, r): members of one list in different components, near no common leader,
-    that share enough of their sketches. lists: (v, cid, n, root, seen, members)."""
+    """(x, r): members of one list, near no common leader, that share enough of
+    their sketches. lists: (v, cid, n, seen, members)."""
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     dealt = (lists.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "root", "n", "seen"))
-    rows = dealt.join(classes.select("cid", "sketch"), "cid").select("v", "i", "j", "cid", "root", "n", "seen", "sketch")
+             .select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "n", "seen"))
+    rows = dealt.join(classes.select("cid", "sketch"), "cid").select("v", "i", "j", "cid", "n", "seen", "sketch")
 
     def work(rows: list[tuple]) -> tuple[list, list]:
-        cid, root, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        return _across(cid, root, n, [set(r[3].tolist()) for r in rows], [r[4] for r in rows], percent)
+        cid, n = (np.array([r[k] for r in rows], np.int64) for k in range(2))
+        return _across(cid, n, [set(r[2].tolist()) for r in rows], [r[3] for r in rows], percent)
 
     return _in_blocks(rows, ["v", "i", "j"], work, "a bigint, b bigint").select(F.col("a").alias("x"), F.col("b").alias("r")).distinct()
 
 
-def minhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, rounds: int = 4) -> DataFrame:
+def minhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, rounds: int = 3) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): one row per row of `docs`.
 
     The bounds of the sketch are for 85 % or more. rounds: leaders that a long
@@ -345,7 +339,7 @@ def minhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stored(marks.where("n > 0").groupBy(*key).agg(F.min("row").alias("cid"), F.min("id").alias("least_id")), "minhash_classes")
     classes = stored(marks.join(named.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid").drop("id"), "minhash_sketches")
 
-    lists = rare_values(classes, percent).withColumn("root", F.col("cid")).withColumn("seen", F.array().cast("array<bigint>"))
+    lists = rare_values(classes, percent).withColumn("seen", F.array().cast("array<bigint>"))
     rest, seen, links = stored(lists, "minhash_values"), None, None
     for k in range(rounds):
         pairs, met = star_pairs(rest)
@@ -354,7 +348,7 @@ def minhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(found) if links else found
         both = near.select("x", "r").unionByName(near.select(F.col("r").alias("x"), "r").distinct())
         seen = seen.unionByName(both) if seen else both
-        rest = open_lists(met, near, seen, links)
+        rest = open_lists(met, near, seen)
         if not rest.where(F.col("members") > LONG).take(1):
             break
     last = near_leaders(stored(block_pairs(rest, classes, percent), "minhash_last"), classes, docs, text_col, size, percent)
