@@ -26,6 +26,7 @@ from dxspark.operators.lookup import (
     resolve_variants, variant_index,
 )
 from dxspark.operators.reshape import DEFAULT_DESCRIPTION, filter_letter_codes
+from dxspark.operators.vectors import term_vectors
 
 # Texts the reference writes for misses.
 NOT_FOUND_DESCRIPTION = "Descripcion no encontrada #"
@@ -311,6 +312,15 @@ def build_code_master(codes: DataFrame, code: str, crosswalk: DataFrame,
                     F.when(F.col("_hit"), F.col("_en")).otherwise(F.lit("")).alias("termino_in"))
 
 
+def code_master_with_vectors(codes: DataFrame, code: str, crosswalk: DataFrame, cache: DataFrame | None = None,
+                             k: int = 64) -> DataFrame:
+    """I7 with its vector column: `vector` of the Spanish term, of unit length;
+    zeros for codes without a term."""
+    master = build_code_master(codes, code, crosswalk, cache).checkpoint()
+    vectors = rekeyed(term_vectors(master, "termino_es", k), "termino_es", "_term")
+    return master.join(vectors, F.col("termino_es") == F.col("_term"), "left").drop("_term")
+
+
 def build_pairs(wide: DataFrame, code_cols: Sequence[str], target: str, names: DataFrame,
                 key: str, name: str) -> DataFrame:
     """I8: (diagnosis name, psychiatric diagnosis name) pairs: complete,

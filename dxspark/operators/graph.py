@@ -15,6 +15,7 @@ from dxspark.functions.scalars import PROVINCE_SCALE, NATIONAL_SCALE, bin_freque
 from dxspark.operators.agg import count_per_value_by_area, node_out_degree
 from dxspark.operators.lookup import edge_endpoint_join, geo_left_join, neighbour_join
 from dxspark.operators.ordering import ordered_running
+from dxspark.sources.keyed import merge_into, read_keyed
 
 
 def upsert_nodes(existing: DataFrame | None, incoming: DataFrame, key: str, ord_col: str = "ord") -> DataFrame:
@@ -35,6 +36,19 @@ def merge_edges(edges: DataFrame, src: str, dst: str, nodes: DataFrame, key: str
     return e.distinct()
 
 
+def store_nodes(path: str, incoming: DataFrame, key: str, ord_col: str = "ord") -> DataFrame:
+    """M1 into a stored graph: a second run merges into what the first left."""
+    merge_into(f"{path}/nodes", incoming, [key], ord_col)
+    return read_keyed(incoming.sparkSession, f"{path}/nodes")
+
+
+def store_edges(path: str, edges: DataFrame, src: str, dst: str, key: str) -> DataFrame:
+    """M2 into a stored graph: edges between stored nodes, each once over all runs."""
+    spark = edges.sparkSession
+    merge_into(f"{path}/edges", merge_edges(edges, src, dst, read_keyed(spark, f"{path}/nodes"), key), ["source", "target"])
+    return read_keyed(spark, f"{path}/edges")
+
+
 def node_table(nodes: DataFrame, embedding_text: str = "embedding_text") -> DataFrame:
     """M3: node export with the embedding parsed to array<float>."""
     return nodes.withColumn("embedding", parse_vector_literal(embedding_text)).drop(embedding_text)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dxspark.functions.scalars import col
+from dxspark.sources.keyed import merge_into, read_keyed
 
 
 def first_row_per_key(df: DataFrame, key: str, cols: Sequence[str], ord_col: str = "ord") -> DataFrame:
@@ -163,7 +164,7 @@ def lookup_with_cache_default(codes: DataFrame, code: str, cache: DataFrame, cac
     """Cache text, else the first exact dictionary hit, else the first key
     starting with the code, else `default`. Null texts never count as hits."""
     distinct = codes.select(F.col(code).alias("_c")).where(F.col("_c").isNotNull()).distinct()
-    c = cache.select(F.col(cache_key).alias("_c"), F.col(cache_text).alias("_cache")).dropDuplicates(["_c"])
+    c = cache.groupBy(F.col(cache_key).alias("_c")).agg(F.min(cache_text).alias("_cache"))  # of repeated keys the first text
     exact = first_row_per_key(dictionary.where(F.col(text).isNotNull()), key, [text], ord_col) \
         .select(F.col(key).alias("_c"), F.col(text).alias("_exact"))
     pref = prefix_index(dictionary, key, text, ord_col).select(F.col("prefix").alias("_c"), F.col(text).alias("_any"))
@@ -172,6 +173,19 @@ def lookup_with_cache_default(codes: DataFrame, code: str, cache: DataFrame, cac
     return codes.join(rekeyed(resolved, "_c", "_key"), F.col(code) == F.col("_key"), "left").drop("_key")
 
 
+def lookup_with_stored_cache(codes: DataFrame, code: str, path: str, dictionary: DataFrame, key: str, text: str,
+                             default: str, out: str, ord_col: str = "ord") -> DataFrame:
+    """D9 with its cache at `path`: texts that were found anew are written back, so
+    that a later run has them without the dictionary. Defaults are not cached."""
+    spark = codes.sparkSession
+    cache = read_keyed(spark, path)
+    cache = cache if cache is not None else spark.createDataFrame([], "code string, text string")
+    found = lookup_with_cache_default(codes, code, cache, "code", "text", dictionary, key, text, default, out, ord_col).checkpoint()
+    new = found.select(F.col(code).alias("code"), F.col(out).alias("text")).where(F.col("code").isNotNull() & (F.col("text") != default)).distinct()
+    merge_into(path, new.join(cache.select("code"), "code", "left_anti"), ["code"])
+    return found
+
+
 def edge_endpoint_join(edges: DataFrame, src: str, dst: str, nodes: DataFrame, node_key: str) -> DataFrame:
     """An edge survives only when both end nodes exist (names matching
     several nodes fan out)."""

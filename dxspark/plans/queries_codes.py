@@ -164,6 +164,17 @@ def q_build_code_master(spark, sf):
     return C.build_code_master(codes, "diagnostico", _cw(spark, sf), fx(spark, sf, "fx_cache"))
 
 
+@query("build_code_master_vectors", f"""
+SELECT c.code AS icd10, coalesce(f.description, '') AS termino_es, true AS length_is_one_or_no_term
+FROM ({DISTINCT_CODES_SQL.replace('AS diagnostico', 'AS code')}) c LEFT JOIN {Q.first_rows('icd10')} f ON c.code = f.icd10""")
+def q_build_code_master_vectors(spark, sf):
+    """I7 with term vectors: every code has one, of length 1 where it has a term."""
+    codes = agg.distinct_codes(fx(spark, sf, "fx_diag_wide"), DIAG_COLS + ["psq"])
+    m = C.code_master_with_vectors(codes, "diagnostico", _cw(spark, sf), fx(spark, sf, "fx_cache"))
+    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    return m.select("icd10", "termino_es", F.when(F.col("termino_es") == "", length == 0).otherwise(F.abs(length - 1) < 1e-9).alias("length_is_one_or_no_term"))
+
+
 def _names(spark, sf):
     w = fx(spark, sf, "fx_diag_wide")
     cells = F.array(*[F.col(c) for c in DIAG_COLS + ["psq"]])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dxspark.functions.scalars import upper_text
 from dxspark.operators import features as J
+from dxspark.operators import subwords as W
 from dxspark.plans.fixtures import fx
 from dxspark.plans.queries_agg import DIAG_COLS
 from dxspark.plans.registry import query
@@ -86,3 +87,28 @@ FROM (SELECT doc_id, list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'
 def q_tokenize_truncate(spark, sf):
     out = J.tokenize_truncate(fx(spark, sf, "fx_all_text"), "doc_id", "text", 128)
     return out.select("doc_id", "n_tokens", F.array_join("tokens", " ").alias("tokens"))
+
+
+#: rank file of a public tokenizer; it is not part of the repository
+SUBWORD_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("tokenize_subwords")
+def q_tokenize_subwords(spark, sf):
+    return W.subword_ids(fx(spark, sf, "fx_all_text"), "doc_id", "text", W.sent_ranks(spark, SUBWORD_RANKS), 128)
+
+
+@query("tokenize_subwords_check", """
+SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, true AS tokens_give_the_text, true AS cut_is_the_beginning, 128 AS n_cut FROM fx_all_text""")
+def q_tokenize_subwords_check(spark, sf):
+    """All tokens of a text give the text back; the cut ones are the first of them,
+    and with padding always as many."""
+    ranks = W.sent_ranks(spark, SUBWORD_RANKS)
+    texts = fx(spark, sf, "fx_all_text")
+    whole = W.subword_text(W.subword_ids(texts, "doc_id", "text", ranks, None), "ids", ranks, "again").select("doc_id", "n_tokens", F.col("ids").alias("every"), "again")
+    cut = W.subword_ids(texts, "doc_id", "text", ranks, 128).select("doc_id", "n_kept", "ids")
+    begin = F.concat(F.slice("every", 1, 128), F.array_repeat(F.lit(-1), 128 - F.col("n_kept")))
+    text = F.coalesce("text", F.lit(""))
+    return texts.join(whole, "doc_id").join(cut, "doc_id").select(
+        "doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), (F.col("again") == text).alias("tokens_give_the_text"),
+        (F.col("ids") == begin).alias("cut_is_the_beginning"), F.size("ids").alias("n_cut"))

@@ -38,6 +38,26 @@ def q_merge_edges(spark, sf):
     return _edges(spark, sf)
 
 
+def _stored_graph(spark, sf):
+    """A stored graph after two runs: odd rows and pairs first, then all of them."""
+    path = scratch_path(spark, "graph")
+    nodes, pairs = fx(spark, sf, "fx_nodes"), fx(spark, sf, "fx_pairs")
+    ends = ("nombre_diagnostico", "nombre_diagnostico_psiquiatrico", "term")
+    G.store_nodes(path, nodes.where("ord % 2 = 1"), "term")
+    G.store_edges(path, pairs.where(F.length("nombre_diagnostico") % 2 == 1), *ends)
+    return G.store_nodes(path, nodes.where("ord % 2 = 0"), "term"), G.store_edges(path, pairs, *ends)
+
+
+@query("store_nodes", f"SELECT * FROM {NODES_SQL} n")
+def q_store_nodes(spark, sf):
+    return _stored_graph(spark, sf)[0]
+
+
+@query("store_edges", f"SELECT * FROM {EDGES_SQL} e")
+def q_store_edges(spark, sf):
+    return _stored_graph(spark, sf)[1]
+
+
 @query("node_table", f"""
 SELECT term, icd10, icd9, ord, CAST(CAST(embedding_text AS FLOAT[])[1] AS DOUBLE) AS emb0,
        CAST(CAST(embedding_text AS FLOAT[])[2] AS DOUBLE) AS emb1 FROM {NODES_SQL} n""")

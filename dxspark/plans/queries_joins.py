@@ -12,6 +12,8 @@ from dxspark.operators.reshape import DEFAULT_DESCRIPTION, keep_complete_pairs
 from dxspark.plans import sql_snippets as Q
 from dxspark.plans.fixtures import fx
 from dxspark.plans.registry import query
+from dxspark.session import scratch_path
+from dxspark.sources.keyed import merge_into
 
 DIAG_CODES = "SELECT code FROM fx_diag_long"
 
@@ -123,6 +125,19 @@ def q_lookup_with_cache_default(spark, sf):
                                        fx(spark, sf, "fx_crosswalk"), "icd10", "description", NO_ENGLISH_TEXT, "text")
 
 
+@query("lookup_with_stored_cache", f"""
+SELECT c.code, e.en AS text FROM (SELECT DISTINCT code FROM fx_diag_long WHERE code IS NOT NULL) c
+LEFT JOIN {Q.english(DIAG_CODES)} e ON c.code = e.code""")
+def q_lookup_with_stored_cache(spark, sf):
+    """A first run over some codes writes what it found back; a second has those from there."""
+    path = scratch_path(spark, "cache")
+    merge_into(path, fx(spark, sf, "fx_cache").select("code", "text"), ["code"])
+    codes, dictionary = _distinct_codes(spark, sf), fx(spark, sf, "fx_crosswalk")
+    args = (path, dictionary, "icd10", "description", NO_ENGLISH_TEXT, "text")
+    L.lookup_with_stored_cache(codes.where(F.length("code") % 2 == 0), "code", *args)
+    return L.lookup_with_stored_cache(codes, "code", *args)
+
+
 @query("edge_endpoint_join", """
 SELECT p.nombre_diagnostico, p.nombre_diagnostico_psiquiatrico
 FROM fx_pairs p JOIN fx_nodes a ON p.nombre_diagnostico = a.term

@@ -11,7 +11,7 @@ from dxspark.plans.fixtures import fx
 from dxspark.plans.registry import query
 from dxspark.plans.sql_snippets import STRIP
 from dxspark.session import scratch_path
-from dxspark.sources import io
+from dxspark.sources import io, lines
 
 CROSSWALK_SCHEMA = "ord bigint, icd9 string, icd10 string, description string"
 
@@ -67,6 +67,22 @@ def q_audit_ragged_lines(spark, sf):
     return io.audit_ragged_lines(fx(spark, sf, "documents"), "doc_id", "text", sep=",")
 
 
+@query("audit_ragged_file", f"""
+WITH t AS (SELECT visit_id % 8 AS file, row_number() OVER (PARTITION BY visit_id % 8 ORDER BY visit_id) AS line_no,
+                  {STRIP.format("CAST(visit_id AS VARCHAR) || ',' || coalesce(psq, '')")} AS line FROM fx_visits),
+f AS (SELECT *, CAST(len(string_split(line, ',')) AS INTEGER) AS n_fields FROM t)
+SELECT f.file, f.line_no, f.n_fields, f.line FROM f JOIN (SELECT file, n_fields AS h FROM f WHERE line_no = 1) g ON f.file = g.file
+WHERE f.n_fields <> g.h""")
+def q_audit_ragged_file(spark, sf):
+    """Eight files, each in the order of its visits, audited by their own line numbers."""
+    path = scratch_path(spark, "ragged_files")
+    v = fx(spark, sf, "fx_visits").select((F.col("visit_id") % 8).alias("file"), "visit_id",
+                                          F.concat(F.col("visit_id").cast("string"), F.lit(","), F.coalesce("psq", F.lit(""))).alias("value"))
+    v.repartition("file").sortWithinPartitions("file", "visit_id").select("file", "value").write.partitionBy("file").text(path)
+    out = lines.audit_ragged_file(spark, path, ",")
+    return out.select(F.regexp_extract("file", "/file=([0-9]+)/", 1).cast("bigint").alias("file"), "line_no", "n_fields", "line")
+
+
 @query("write_delimited", "SELECT * FROM fx_pairs")
 def q_write_delimited(spark, sf):
     path = io.write_delimited(fx(spark, sf, "fx_pairs"), scratch_path(spark, "pairs"), sep="|", header=True)
