@@ -112,12 +112,14 @@ def tfidf(df: DataFrame, id_col: str, text: str, max_features: int | None = 500,
     if ngram_max > 1:
         toks = ngrams(toks, ngram_max)
     terms = df.select(id_col, F.explode(toks).alias("term"))
+    if max_features:  # the vocabulary first: only its terms are grouped by document
+        most = terms.groupBy("term").agg(F.count(F.lit(1)).alias("cf")).orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
+        names = df.sparkSession.createDataFrame([(r["term"],) for r in most.collect()], "term string")  # at most max_features rows
+        terms = terms.join(F.broadcast(names), "term")
     tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    vocab = stats.orderBy(F.col("cf").desc(), F.col("term")).limit(max_features) if max_features else stats
     n_docs = df.count()  # one scalar
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    vocab = vocab.select("term", idf.alias("idf"))
+    vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf.alias("idf"))
     vocab = F.broadcast(vocab) if max_features else vocab
     w = tf.join(vocab, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))

@@ -97,10 +97,9 @@ class HashedTextModel:
 def inverse_frequencies(ids: DataFrame, dims: int) -> np.ndarray:
     """ln((1 + n) / (1 + df)) + 1 of every feature, over the rows of `ids` (column ids)."""
     n = ids.count()
-    counts = ids.select(F.explode(F.array_distinct("ids")).alias("i")).groupBy("i").count()
+    counts = ids.select(F.explode(F.array_distinct("ids")).alias("i")).groupBy("i").count().toPandas()  # at most `dims` rows
     df = np.zeros(dims)
-    for r in counts.toLocalIterator():  # at most `dims` rows
-        df[r["i"]] = r["count"]
+    df[counts["i"].to_numpy(np.int64)] = counts["count"]
     return np.log((1 + n) / (1 + df)) + 1
 
 
@@ -153,14 +152,14 @@ def _pass(rows: DataFrame, w: np.ndarray, g: np.ndarray, bias: tuple[float, floa
                                               pa.array(np.append((g[at] - old_g) * n, loss))], ["i", "dw", "dg"])
 
     changes = rows.mapInArrow(run, "i int, dw double, dg double").groupBy("i").agg(F.sum("dw").alias("dw"), F.sum("dg").alias("dg"))
-    found = {r["i"]: (r["dw"], r["dg"]) for r in changes.collect()}  # at most dims + 2 rows
+    found = changes.toPandas()  # at most dims + 2 rows
     sent.destroy()
-    n, loss = found.pop(dims + 1, (1.0, 0.0))
-    w, g = np.append(w, bias[0]), np.append(g, bias[1])
-    if found:
-        at = np.fromiter(found, np.int64)
-        w[at] += np.array([found[i][0] for i in at]) / n
-        g[at] += np.array([found[i][1] for i in at]) / n
+    rest = found[found["i"] == dims + 1]
+    n, loss = (rest["dw"].iloc[0], rest["dg"].iloc[0]) if len(rest) else (1.0, 0.0)
+    found = found[found["i"] <= dims]
+    w, g, at = np.append(w, bias[0]), np.append(g, bias[1]), found["i"].to_numpy(np.int64)
+    w[at] += found["dw"].to_numpy() / n
+    g[at] += found["dg"].to_numpy() / n
     return w[:-1], g[:-1], (float(w[-1]), float(g[-1])), loss / n
 
 
