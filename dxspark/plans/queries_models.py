@@ -353,8 +353,9 @@ def q_boosted_models_check(spark, sf):
             scored = model.transform(test, k).join(paths, "visit_id")
             margins = scored.agg(F.count(F.lit(1)).alias("n_scored"), F.min(F.abs(F.col("margin") - F.col("f") - model.base[k]) < 1e-9).alias("margins_are_sums_of_leaves"))
             trees = t.agg(F.countDistinct("tree").alias("trees"))
-            out.append(trees.crossJoin(margins).crossJoin(sums).crossJoin(leaves)  # one row each
-                       .select(F.lit(dataset).alias("dataset"), F.lit(name).alias("model"), "trees", "n_scored",
+            rows = [x.withColumn("model", F.lit(name)) for x in (trees, margins, sums, leaves)]  # one row each
+            out.append(reduce(lambda a, b: a.join(b, "model"), rows).select(
+                       F.lit(dataset).alias("dataset"), "model", "trees", "n_scored",
                                F.coalesce("sums_add_up", F.lit(True)).alias("sums_add_up"), "leaves_are_newton_steps",
                                F.coalesce("splits_keep_limits", F.lit(True)).alias("splits_keep_limits"), "margins_are_sums_of_leaves"))
     return reduce(DataFrame.unionByName, out)

@@ -11,7 +11,7 @@ from dxspark.plans.fixtures import fx
 from dxspark.plans.registry import query
 from dxspark.plans.sql_snippets import STRIP
 from dxspark.session import scratch_path
-from dxspark.sources import io, lines
+from dxspark.sources import geo, io, lines
 
 CROSSWALK_SCHEMA = "ord bigint, icd9 string, icd10 string, description string"
 
@@ -142,6 +142,30 @@ def q_read_geo_features(spark, sf):
     return g.select("cod_postal", F.col("properties.name").alias("name"))
 
 
+@query("read_geo_polygons", """
+SELECT cod_postal, name, CASE WHEN ord % 3 = 0 THEN 7.0 ELSE 8.0 END::DOUBLE AS area, CAST(CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS holes,
+       CAST(ord AS DOUBLE) AS west, 0.0::DOUBLE AS south, CAST(ord + 4 AS DOUBLE) AS east, 2.0::DOUBLE AS north
+FROM fx_areas""")
+def q_read_geo_polygons(spark, sf):
+    """A8 over files that are cut into splits, with the areas' outlines: a rectangle
+    each, every third with a hole."""
+    a = fx(spark, sf, "fx_areas")
+    x = F.col("ord").cast("double")
+    ring = lambda *points: F.array(*[F.array(x + dx, F.lit(y)) for dx, y in points])
+    border = ring((0, 0.0), (4, 0.0), (4, 2.0), (0, 2.0), (0, 0.0))
+    hole = ring((1, 0.5), (2, 0.5), (2, 1.5), (1, 1.5), (1, 0.5))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("cod_postal").alias("COD_POSTAL"), "name").alias("properties"),
+                       F.struct(F.lit("Polygon").alias("type"), F.when(F.col("ord") % 3 == 0, F.array(border, hole)).otherwise(F.array(border)).alias("coordinates"))
+                       .alias("geometry"))
+    fc = a.groupBy(F.floor(F.col("ord") / 1000).alias("doc")).agg(
+        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
+    path = scratch_path(spark, "geo")
+    fc.write.partitionBy("doc").text(path)
+    p = geo.polygons(F.col("geometry"))
+    return geo.read_features(spark, path).select("cod_postal", F.col("properties")["name"].alias("name"), geo.area(p).alias("area"),
+                                                 geo.holes(p).alias("holes"), geo.box(p).alias("box")).select("cod_postal", "name", "area", "holes", "box.*")
+
+
 @query("export_rejects", """
 SELECT DISTINCT code AS codigo_perdido FROM fx_diag_long d
 WHERE code IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fx_crosswalk c WHERE c.icd10 = d.code)""")

@@ -1,5 +1,6 @@
 """Numbered lines of files, tables that runs merge into, and term vectors."""
 
+import json
 import os
 import random
 
@@ -118,3 +119,39 @@ def test_term_vectors(spark):
     assert nearest["broken arm"] == "broken left arm" and nearest["broken left arm"] == "broken arm"
     assert dot("broken arm", "broken left arm") > 0.3 > abs(dot("broken arm", "schizophrenia"))
     assert V.term_vectors(spark.createDataFrame([], "t string"), "t").collect() == []
+
+
+# ------------------------------------------------------------------ GeoJSON
+
+def collection(rng: random.Random, n: int, loose: bool) -> dict:
+    odd = ['}', '{"type": "Feature"}', '\\"', 'a"b', "\\", '"features": [', "ñ}]"]
+    features = []
+    for k in range(n):
+        rings = [[[k, 0], [k + 4, 0], [k + 4, 2], [k, 2], [k, 0]]] + [[[k + 1, 0.5], [k + 2, 0.5], [k + 2, 1.5], [k + 1, 1.5], [k + 1, 0.5]]] * (k % 3 == 0)
+        kind = {"type": "Polygon", "coordinates": rings} if k % 2 else {"type": "MultiPolygon", "coordinates": [rings, [[[k, 9], [k + 1, 9], [k + 1, 10], [k, 9]]]]}
+        features.append({"type": "Feature", "properties": {"COD_POSTAL": f"{k:05d}", "name": rng.choice(odd) * rng.randrange(1, 40)}, "geometry": kind})
+    out = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x"}}, "features": features}
+    return out | ({"links": [{"a": {"b": 1}}], "bbox": [1, 2]} if loose else {})
+
+
+def test_features_over_many_splits(spark, tmp_path, small_splits):
+    """Compact and loose files; braces, quotes and escapes in values; features longer
+    than a split; an empty collection."""
+    from dxspark.sources import geo
+
+    rng = random.Random(8)
+    made = {"a": (collection(rng, 160, True), None), "b": (collection(rng, 90, False), 2), "c": (collection(rng, 0, True), None)}
+    made["a"][0]["features"][50]["properties"]["name"] = "long } " * 3000
+    for name, (data, indent) in made.items():
+        (tmp_path / f"{name}.geojson").write_text(json.dumps(data, indent=indent, ensure_ascii=name == "b"))
+    assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 10
+    rows = geo.read_features(spark, str(tmp_path))
+    got = sorted((r.cod_postal, r.properties["name"], json.dumps(json.loads(r.geometry))) for r in rows.collect())
+    want = sorted((f["properties"]["COD_POSTAL"], f["properties"]["name"], json.dumps(f["geometry"])) for d, _ in made.values() for f in d["features"])
+    assert got == want
+    p = geo.polygons(F.col("geometry"))
+    for r in rows.select("cod_postal", geo.area(p).alias("area"), geo.holes(p).alias("holes"), geo.box(p).alias("box")).collect():
+        k = int(r.cod_postal)
+        hole = k % 3 == 0
+        assert (r.area, r.holes) == (8.0 - hole + (0 if k % 2 else 0.5), int(hole))
+        assert tuple(r.box) == (k, 0, k + 4, 2 if k % 2 else 10)
