@@ -55,16 +55,16 @@ def fingerprint_of(text: str | None, size: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def with_fingerprint(df: DataFrame, text_col: str = "text", size: int = 3) -> DataFrame:
-    """`df` with `fp` bigint, the SimHash of every row's whole text."""
+def with_fingerprint(df: DataFrame, text_col: str = "text", size: int = 3, out: str = "fp") -> DataFrame:
+    """`df` with `out` bigint, the SimHash of every row's whole text."""
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = pa.array([fingerprint_of(t.as_py(), size) for t in b.column(at)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, fp], [*b.schema.names, "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, fp], [*b.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("fp", T.LongType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
 
 
 def covering(width: int) -> list[tuple[int, ...]]:
@@ -192,11 +192,12 @@ def first_of_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and their best row are found on (id, fingerprint, number) alone, and the
     texts are joined once, by that number, of which no two rows have the same.
     """
-    marked = stored(with_fingerprint(docs, text_col, size).withColumn("_row", F.monotonically_increasing_id()), "marked")
-    order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text"), F.col("_row").alias("row"))
-    best = stored(marked.select("fp", order.alias("best")).groupBy("fp").agg(F.min("best").alias("best")), "distinct_fp")
-    winners = linked_classes(best, max_bits).join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
-    return marked.join(winners, "_row", "left_semi").drop("fp", "_row")
+    fp, row = (next(c for c in (k + "_" * i for i in range(len(docs.columns) + 1)) if c not in docs.columns) for k in ("fp", "_row"))
+    marked = stored(with_fingerprint(docs, text_col, size, fp).withColumn(row, F.monotonically_increasing_id()), "marked")
+    order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text"), F.col(row).alias("row"))
+    best = stored(marked.select(F.col(fp).alias("fp"), order.alias("best")).groupBy("fp").agg(F.min("best").alias("best")), "distinct_fp")
+    winners = linked_classes(best, max_bits).join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return marked.join(winners, row, "left_semi").drop(fp, row)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
