@@ -155,3 +155,20 @@ def test_features_over_many_splits(spark, tmp_path, small_splits):
         hole = k % 3 == 0
         assert (r.area, r.holes) == (8.0 - hole + (0 if k % 2 else 0.5), int(hole))
         assert tuple(r.box) == (k, 0, k + 4, 2 if k % 2 else 10)
+
+
+def test_stream_merges_like_runs(spark, tmp_path):
+    """Files that arrive one after the other, read in batches; a second start takes
+    only what is new, and a repeated batch changes nothing."""
+    from dxspark.streaming import merge_stream
+
+    source, path, state = (str(tmp_path / x) for x in ("in", "t", "state"))
+    spark.createDataFrame([(f"k{i}", i, "a") for i in range(60)], SCHEMA).repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    merge_stream(stream, path, ["k"], "ord", state).awaitTermination(120)
+    assert keyed.read_keyed(spark, path).count() == 60
+    spark.createDataFrame([("k1", 99, "b"), ("k2", 0, "old"), ("new", 1, "c")], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    for again in (state, str(tmp_path / "other")):  # a new state reads every file again
+        merge_stream(stream, path, ["k"], "ord", again).awaitTermination(120)
+        got = {r.k: (r.ord, r.v) for r in keyed.read_keyed(spark, path).collect()}
+        assert len(got) == 61 and got["k1"] == (99, "b") and got["k2"] == (2, "a") and got["new"] == (1, "c")
