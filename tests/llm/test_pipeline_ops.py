@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dxspark.llm import decontaminate as D
 from dxspark.llm import mixing, quality, shard, simhash
@@ -126,6 +127,20 @@ def test_quality_rare_boilerplate_of_a_hot_host(spark):
     assert got == {k: sum(k % step == 0 for step in (100, 33, 10)) for k in range(4000)}
 
 
+def test_quality_judges_every_passage(spark):
+    """Texts of mostly own passages are different documents, also if those of
+    smallest hash are the host's."""
+    word = lambda k, of: of + "".join(chr(97 + int(c)) for c in str(k))
+    triples = spark.createDataFrame([tuple(word(k, c) for c in "xyz") for k in range(3000)], "a string, b string, c string")
+    common = [" ".join(r) for r in triples.orderBy(F.xxhash64("a", "b", "c")).limit(16).collect()]
+    rows = []
+    for d in range(40):
+        own = [f"{c} {word(100 * d + k, 'u')}" for k, c in enumerate(common)] + [" ".join(word(1000 * d + 3 * k + j, "v") for j in range(3)) for k in range(20)]
+        rows.append((d, "\n".join(["read more of this on the front page", *own]), "en", "host", 0))
+    got = quality.quality(spark.createDataFrame(rows, brute.SCHEMA)).select("n_removed_lines").distinct().collect()
+    assert [r[0] for r in got] == [1]
+
+
 def test_quality_edited_copies_anywhere(spark):
     """A text with one word changed, in any line, is no other document."""
     rng = random.Random(8)
