@@ -191,3 +191,21 @@ def test_contributions_sum_to_the_score(spark, fitted):
     assert {r.doc_id: r.n for r in got} == {i: k for i, k in n.items() if k > 0}
     assert n[-3] == 20_000
     assert all(math.isclose(r.s, r.score - r.base, abs_tol=1e-9) for r in got)
+
+
+def test_owen_values_of_a_level_together(monkeypatch):
+    """Levels in one piece, in many pieces and of one node at a time give the same,
+    and a long text takes some tens of array steps a level, not some a token."""
+    rng = np.random.default_rng(2)
+    w, idf = rng.normal(size=300), rng.random(300) + 1
+    ids = rng.integers(-1, 300, 700)
+    calls, once = [], E.context_bits
+    monkeypatch.setattr(E, "context_bits", lambda *a: calls.append(1) or once(*a))
+    whole = E.owen_values(ids, w, 0.2, idf, 9)
+    assert len(calls) <= 12
+    score = lambda v: 1 / (1 + np.exp(-(0.2 + v)))
+    f, c = np.unique(ids[ids >= 0], return_counts=True)
+    v = c * idf[f]
+    assert abs(whole.sum() - score(w[f] @ v / np.sqrt(v @ v)) + score(0.0)) < 1e-9
+    monkeypatch.setattr(E, "PIECE", 1)
+    assert np.allclose(E.owen_values(ids, w, 0.2, idf, 9), whole, atol=1e-12)
