@@ -6,14 +6,15 @@ vocabulary's pattern; the bytes of each piece are joined pair by pair, the pair
 lowest rank first, until no pair is in the vocabulary. Every single byte is in it,
 so any text has tokens and tokens give the text back.
 
-A text is tokenised where it is, in one pass over its table; nothing is shuffled.
-The vocabulary is read by Spark and sent to the tasks after its size is checked,
+A text is tokenised in one pass over its table; texts are dealt out first where
+fewer tasks read them than can run at once, and nothing else is shuffled. The vocabulary is read by Spark and sent to the tasks after its size is checked,
 and a task keeps the tokens of frequent pieces at hand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dxspark.session import to_all_tasks
+
 # Fixed value: the pattern that goes with the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: tokens of a vocabulary at most; pieces that a task keeps at hand
@@ -41,21 +44,28 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    parts = [piece[k:k + 1] for k in range(len(piece))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda k: ranks.get(parts[k] + parts[k + 1], 1 << 60))
-        pair = parts[best] + parts[best + 1]
-        if pair not in ranks:
+    parts, none = [piece[k:k + 1] for k in range(len(piece))], 1 << 60
+    rank = ranks.get
+    of = [rank(piece[k:k + 2], none) for k in range(len(piece) - 1)]  # rank of each part joined with the next
+    while of:
+        best = min(of)
+        if best == none:
             break
-        joined, k = [], 0
-        while k < len(parts):  # every place of that pair, from the left
-            if k + 1 < len(parts) and parts[k] + parts[k + 1] == pair:
-                joined.append(pair)
-                k += 2
-            else:
-                joined.append(parts[k])
-                k += 1
-        parts = joined
+        at = of.index(best)
+        pair, places = parts[at] + parts[at + 1], [at]
+        if of.count(best) > 1:  # every place of that pair, from the left
+            for k in range(at + 2, len(of)):
+                if of[k] == best and k > places[-1] + 1 and parts[k] + parts[k + 1] == pair:
+                    places.append(k)
+        for k in reversed(places):
+            parts[k:k + 2] = [pair]
+            del of[k]
+        for j, k in enumerate(places):
+            k -= j
+            if k < len(of):
+                of[k] = rank(pair + parts[k + 1], none)
+            if k:
+                of[k - 1] = rank(parts[k - 1] + pair, none)
     return [ranks[p] for p in parts]
 
 
@@ -82,7 +92,7 @@ def subword_ids(df: DataFrame, id_col: str, text: str, ranks: Broadcast, max_len
     `max_len` and padded to it with `pad`; n_tokens counts those of the whole text
     and n_kept those that are kept. `max_len` None keeps all, without padding. A
     null text has no tokens."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = to_all_tasks(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +102,11 @@ def subword_ids(df: DataFrame, id_col: str, text: str, ranks: Broadcast, max_len
         for b in batches:
             sizes, flat, ends = [], [], [0]
             for t in b.column(1):
-                ids = [i for p in find(t.as_py()) for i in pieces[p]]
-                sizes.append(len(ids))
-                own = ids if max_len is None else ids[:max_len] + [pad] * (max_len - len(ids))
+                found = [pieces[p] for p in find(t.as_py())]
+                sizes.append(sum(map(len, found)))
+                own = list(chain.from_iterable(found if max_len is None else found[:max_len]))  # a piece has a token at least
+                if max_len is not None:
+                    own = own[:max_len] + [pad] * (max_len - len(own))
                 flat.append(np.array(own, np.int32))
                 ends.append(ends[-1] + len(own))
             kept = [n if max_len is None else min(n, max_len) for n in sizes]
@@ -110,9 +122,9 @@ def subword_text(df: DataFrame, ids: str, ranks: Broadcast, out: str = "text") -
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {i: b for b, i in ranks.value.items()}
+        token = {i: b for b, i in ranks.value.items()}.get
         for b in batches:
-            texts = [None if v is None else b"".join(tokens.get(i, b"") for i in v).decode("utf-8", "replace") for v in b.column(at).to_pylist()]
+            texts = [b"".join(map(token, v.values.to_pylist(), repeat(b""))).decode("utf-8", "replace") if v.is_valid else None for v in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
 
     return df.mapInArrow(run, df.withColumn(out, F.lit("")).schema)

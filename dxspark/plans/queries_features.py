@@ -105,10 +105,14 @@ def q_tokenize_subwords_check(spark, sf):
     and with padding always as many."""
     ranks = W.sent_ranks(spark, SUBWORD_RANKS)
     texts = fx(spark, sf, "fx_all_text")
-    whole = W.subword_text(W.subword_ids(texts, "doc_id", "text", ranks, None), "ids", ranks, "again").select("doc_id", "n_tokens", F.col("ids").alias("every"), "again")
+    # lengths, digests and the beginnings are exchanged, not the texts and their tokens
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    whole = W.subword_text(W.subword_ids(texts, "doc_id", "text", ranks, None), "ids", ranks, "again").select(
+        "doc_id", F.slice("ids", 1, 128).alias("first"), digest(F.col("again")).alias("again"))
     cut = W.subword_ids(texts, "doc_id", "text", ranks, 128).select("doc_id", "n_kept", "ids")
-    begin = F.concat(F.slice("every", 1, 128), F.array_repeat(F.lit(-1), 128 - F.col("n_kept")))
+    begin = F.concat("first", F.array_repeat(F.lit(-1), 128 - F.col("n_kept")))
     text = F.coalesce("text", F.lit(""))
-    return texts.join(whole, "doc_id").join(cut, "doc_id").select(
-        "doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), (F.col("again") == text).alias("tokens_give_the_text"),
+    own = texts.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), digest(text).alias("text"))
+    return own.join(whole, "doc_id").join(cut, "doc_id").select(
+        "doc_id", "n_bytes", (F.col("again") == F.col("text")).alias("tokens_give_the_text"),
         (F.col("ids") == begin).alias("cut_is_the_beginning"), F.size("ids").alias("n_cut"))

@@ -52,3 +52,20 @@ def test_empty_table_and_large_vocabulary(spark, ranks, monkeypatch):
     monkeypatch.setattr(W, "LARGEST", 100)
     with pytest.raises(ValueError, match="more than 100"):
         W.read_ranks(spark, SUBWORD_RANKS)
+
+
+def test_long_pieces_take_few_lookups():
+    """Only the ranks of pairs next to a joined one are looked up again."""
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            Counted.n += 1
+            return super().get(*a)
+
+    letters = [bytes([97 + k]) for k in range(26)]
+    pairs = [letters[k] + letters[k + 1] for k in range(0, 26, 2)]
+    ranks = Counted({t: i for i, t in enumerate(letters + pairs)})
+    piece = b"".join(letters) * 40
+    assert W.merged(piece, ranks) == [26 + k for k in range(13)] * 40
+    assert Counted.n < 4 * len(piece)
