@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dxspark.functions.scalars import col
+from dxspark.session import to_all_tasks
 from dxspark.sources.keyed import merge_into, read_keyed
 
 
@@ -128,9 +129,11 @@ def left_join_attach_column(df: DataFrame, key: str, other: DataFrame, other_key
 
 def left_join_composite(df: DataFrame, keys: Sequence[str], other: DataFrame, value: str,
                         default: str) -> DataFrame:
-    """Left join on several keys (nulls do not match) + default text."""
+    """Left join on several keys (nulls do not match) + default text. A key that
+    stands often on both sides multiplies rows: with a broadcast side the join is
+    done where `df` is read, so `df` is dealt to all tasks first."""
     right = other.select(*keys, value)
-    return df.join(right, list(keys), "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+    return to_all_tasks(df).join(right, list(keys), "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
 def left_join_twice(pairs: DataFrame, a: str, b: str, dictionary: DataFrame, key: str,

@@ -57,3 +57,14 @@ def test_first_row_with_hot_key(spark):
     for i, c, _ in rows:
         exp.setdefault(c, i)
     assert got == exp
+
+
+def test_composite_join_of_one_partition_uses_all_tasks(spark):
+    """Rows that one task reads, and that a join multiplies, are dealt out first."""
+    from dxspark.operators.lookup import left_join_composite
+    df = spark.range(300).select("id", (F.col("id") % 3).alias("a"), F.lit("k").alias("b")).coalesce(1)
+    other = spark.range(200).select((F.col("id") % 2).alias("a"), F.lit("k").alias("b"), F.concat(F.lit("d"), F.col("id")).alias("d"))
+    out = left_join_composite(df, ["a", "b"], F.broadcast(other), "d", "none")
+    assert out.groupBy("a").count().orderBy("a").collect() == [(0, 10000), (1, 10000), (2, 100)]
+    held = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) >= spark.sparkContext.defaultParallelism
