@@ -10,8 +10,10 @@ allows for a segment, at most about threshold^2 / 2 + threshold + 1 a length.
 The keys are 64-bit hashes. The join also compares the counts of `LETTERS`:
 `threshold` edits change them by at most 2 * threshold in all, a test that loses
 no link and drops most lines that merely share a segment. What is left is
-verified on whole lines by a bit-parallel edit distance in a band of
-2 * threshold + 1 diagonals, one aggregate over the characters.
+verified on whole lines: by Spark's bounded `levenshtein`, which walks a line from
+its start in every column, and where both lines are longer than `LONG` by a
+bit-parallel edit distance in a band of 2 * threshold + 1 diagonals, one aggregate
+over the characters.
 
 Exact copies collapse first, by hash, with map-side combining: a line that
 stands a million times is indexed once. Texts are shuffled once, for that; the
@@ -41,6 +43,8 @@ from dxspark.llm.common import connected_components, stored, table
 THRESHOLD = 2
 MIN_CHARS = 1
 LETTERS = "etaoins"
+#: characters from which the time of `levenshtein`, which grows with their square, is not worth it
+LONG = 2000
 #: candidate hashes, 8 bytes each, that are sent to every task at most
 BROADCAST_KEYS = 1_000_000
 
@@ -156,9 +160,13 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = stored(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "line_wanted")
     if wanted.count() <= BROADCAST_KEYS:  # else the lines are shuffled to them
         wanted = F.broadcast(wanted)
-    texts = stored(long.join(wanted, "h", "left_semi").dropDuplicates(["h"]).select("h", F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)).alias("chars")), "line_texts")
-    met = (pairs.join(texts.select(F.col("h").alias("a"), F.col("chars").alias("r")), "a").join(texts.select(F.col("h").alias("b"), F.col("chars").alias("s")), "b"))
-    return stored(met.select("a", "b", within(F.col("r"), F.col("s"), threshold).alias("edits")), "line_met").where(F.col("edits") <= threshold)
+    chars = F.when(F.length("line") > LONG, F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)))
+    texts = stored(long.join(wanted, "h", "left_semi").dropDuplicates(["h"]).select("h", "line", chars.alias("chars")), "line_texts")
+    side = lambda h, line, x: texts.select(F.col("h").alias(h), F.col("line").alias(line), F.col("chars").alias(x))
+    met = pairs.join(side("a", "a_line", "r"), "a").join(side("b", "b_line", "s"), "b")
+    plain = F.levenshtein("a_line", "b_line", threshold)  # -1: more
+    edits = F.when(F.col("r").isNull() | F.col("s").isNull(), plain).otherwise(within(F.col("r"), F.col("s"), threshold))
+    return stored(met.select("a", "b", edits.alias("edits")), "line_met").where(F.col("edits").between(0, threshold))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -99,6 +99,20 @@ def test_short_lines(spark):
     assert links[99, 0] and links[99, 1]
 
 
+def test_lines_on_both_sides_of_the_long_ones(spark, monkeypatch):
+    """`levenshtein` and the band give the same links, also across LONG."""
+    monkeypatch.setattr(lines, "LONG", 40)
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abc dé𝄞") for _ in range(n)) + "x" for n in range(36, 46) for _ in range(2)]
+    made = [edited(rng, b, rng.randrange(4)) for b in base for _ in range(5)]
+    docs = stored(spark.createDataFrame([(k, "\n".join(rng.sample(made, 8))) for k in range(40)], "doc_id bigint, text string"), "d")
+    for threshold in (2, 1, 3):
+        check(docs, threshold, 1)
+    for r in lines.line_links(docs).join(lines.lines_of(docs).select(F.col("h").alias("a"), F.col("line").alias("r")).distinct(), "a").join(
+            lines.lines_of(docs).select(F.col("h").alias("b"), F.col("line").alias("s")).distinct(), "b").collect():
+        assert distance(r.r, r.s) == r.edits
+
+
 def test_tables_and_edges(spark):
     docs = table(spark, SF_SMALL, "documents").where("doc_id < 50").select("doc_id", "text")
     check(stored(docs.unionByName(brute.edge_documents(spark).where("length(text) < 9000 OR text IS NULL").select("doc_id", "text")), "d"))
