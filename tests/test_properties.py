@@ -7,6 +7,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from dxspark.operators import codes as C
@@ -15,6 +16,7 @@ from dxspark.operators import features as J
 from dxspark.operators import metrics as K
 from dxspark.operators import models as M
 from dxspark.operators.ordering import ordered_running
+from dxspark.operators.treeshap import node_table
 from dxspark.plans.fixtures import fx
 from dxspark.plans.queries_agg import DIAG_COLS
 from tests.conftest import SF_SMALL
@@ -158,6 +160,23 @@ def test_tree_models_predict_every_test_row(spark, coded):
         assert (p.y == p.pred).mean() >= majority - 0.1
 
 
+def test_forest_grown_by_several_fits_is_one_forest(spark, coded):
+    train, test = coded.where("split = 'train'").withColumn("weight", F.lit(2.0)), coded.where("split = 'test'")
+    model = M.fit_random_forest(train, DIAG_COLS, num_trees=7, max_depth=12, weight="weight", trees_a_fit=3)
+    forest = model.stages[-1]
+    assert forest.getNumTrees == len(forest.trees) == 7
+    assert len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) == 7  # no draws twice
+    votes = test.select("visit_id", "label")
+    for k, tree in enumerate(forest.trees):
+        one = tree.transform(model.transform(test).select("visit_id", "features"))
+        votes = votes.join(one.select("visit_id", vector_to_array("probability")[1].alias(f"p{k}")), "visit_id")
+    scores = M.predict_scores(model, test, ["visit_id"]).join(votes, "visit_id").toPandas()
+    assert len(scores) == test.count()
+    assert (scores.score - scores[[f"p{k}" for k in range(7)]].mean(axis=1)).abs().max() < 1e-9
+    nodes = node_table(model)
+    assert nodes.select("tree").distinct().count() == 7 and nodes.count() == forest.totalNumNodes
+
+
 def test_shapley_additivity_with_one_background_row(spark, coded):
     train, test = coded.where("split = 'train'"), coded.where("split = 'test'").limit(20)
     model = M.fit_random_forest(train, DIAG_COLS, num_trees=10, max_depth=5)
