@@ -63,10 +63,11 @@ def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
 
 
 def _letters(line: Column) -> Column:
-    """Counts of LETTERS modulo 128, a byte each, above an empty low byte."""
+    """Counts of LETTERS modulo 128, a byte each, above an empty low byte. Each is a
+    byte, and lengths in bytes, unlike those in characters, need no walk of the line."""
     out = F.lit(0).cast("bigint")
     for k, c in enumerate(LETTERS, 1):
-        n = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("bigint")
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("bigint")
         out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(127)), 8 * k))
     return out
 

@@ -46,6 +46,16 @@ def test_banded_distance(spark):
             assert r.d == want if want <= k else r.d > k, (k, r, want)
 
 
+def test_letter_counts(spark):
+    rng = random.Random(5)
+    texts = ["", "e" * 130, "é𝄞e", "\u0301t\u0301"] + ["".join(rng.choice("etaoinsxé𝄞 ") for _ in range(rng.randrange(300))) for _ in range(50)]
+    df = spark.createDataFrame([(t,) for t in texts], "line string")
+    for line, sig in df.select("line", lines._letters(F.col("line"))).collect():
+        assert sig == sum(line.count(c) % 128 << 8 * k for k, c in enumerate(lines.LETTERS, 1)), line
+    plan = df.select(lines._letters(F.col("line")))._jdf.queryExecution().analyzed().toString()
+    assert "octet_length" in plan and not re.search(r"(?<!octet_)length\(", plan)  # no walk of the characters
+
+
 def plain_classes(docs, threshold, min_chars):
     rows = [(i, n, x) for i, t in docs for n, x in enumerate((t or "").split("\n")) if brute.WORD.search(x)]
     kinds = sorted({x for _, _, x in rows if len(x) >= min_chars})
