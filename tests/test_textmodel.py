@@ -209,3 +209,28 @@ def test_owen_values_of_a_level_together(monkeypatch):
     assert abs(whole.sum() - score(w[f] @ v / np.sqrt(v @ v)) + score(0.0)) < 1e-9
     monkeypatch.setattr(E, "PIECE", 1)
     assert np.allclose(E.owen_values(ids, w, 0.2, idf, 9), whole, atol=1e-12)
+
+
+@pytest.mark.parametrize("n, kinds", [(1, 1), (2, 1), (2, 50), (60, 12), (400, 500)])
+def test_occlusion_takes_each_token_out(fitted, n, kinds):
+    _, model = fitted
+    ids = np.random.default_rng(n).integers(-1 if kinds > 1 else 0, kinds, n)
+    whole = plain_score(model, ids)
+    want = [whole - plain_score(model, np.delete(ids, k)) for k in range(n)]
+    assert np.allclose(E.occlusions(ids, model.weights, model.bias, model.idf), want, atol=1e-12)
+
+
+def test_token_occlusion_scores_the_texts_without_each_token(spark, fitted, monkeypatch):
+    """The query against texts that are written out without the token."""
+    from dxspark.plans import queries_explain as Q
+    t, model = fitted
+    docs = spark.createDataFrame([(1, "uno dos uno tres"), (2, "sola"), (3, "a, b; a b c"), (4, None)], "doc_id bigint, text string")
+    monkeypatch.setattr(Q, "text_model", lambda *_: (t, model))
+    monkeypatch.setattr(Q, "fx", lambda *_: docs)
+    got = Q.q_token_occlusion(spark, SF_SMALL).collect()
+    assert {"doc_id", "pos", "token", "contribution", "occlusion"} == set(got[0].asDict())
+    of = {i: [r.token for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.pos)] for i in (1, 2, 3)}
+    less = [(i, k, " ".join(w[:k] + w[k + 1:])) for i, w in of.items() for k in range(len(w))] + [(i, -1, " ".join(w)) for i, w in of.items()]
+    p = {(r.i, r.k): r.probability[1] for r in model.transform(spark.createDataFrame(less, "i int, k int, text string")).collect()}
+    assert len(got) == 4 + 1 + 5
+    assert all(math.isclose(r.occlusion, p[r.doc_id, -1] - p[r.doc_id, r.pos], abs_tol=1e-12) for r in got)
